@@ -11,10 +11,13 @@ always gets a true state, so the loop ends, and normally there is nothing to rep
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +28,11 @@ from ..session import materialize
 from . import recursion
 from .blocks import BLOCK_KEY, BLOCK_SLOTS, WARMUP_SLOTS, split_blocks
 from .indicators import with_direction, with_extremes, with_line_cross, with_moves, with_previous, with_rsi, with_slot
-from .recursion import INPUTS, RESULTS, STATE, run_series
+from .recursion import INPUTS, RESULTS, STATE, apart, run_series
 
-# Tasks get the small recursion module by value, so executors need no installed copy of this package.
+# Tasks get these two modules by value, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(recursion)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Edge states agree if they differ by less than this, relative to their size: rounding noise of the smoothing.
 TOLERANCE = 1e-12
@@ -37,7 +41,16 @@ PASSED = [
     *BAR_COLUMNS, "bar_seconds", "slot", "ph", "pl", "pc", "tr", "c_diff_p", "c_diff_n", "dm_p", "dm_n",
     "ep14_h", "ep14_l", "ep15_h", "ep15_l", "ep28_h", "ep28_l",
 ]
-CARRY_COLUMNS = ["bar_interval", "symbol", "block", "slot", *STATE]
+# State a run continues from, on the bar it belongs to.
+CARRY = T.StructType([T.StructField(name, T.DoubleType()) for name in STATE])
+
+
+def no_carry() -> Column:
+    return F.lit(None).cast(CARRY)
+
+
+def carry_of(prefix: str = "") -> Column:
+    return F.struct(*[F.col(f"{prefix}{name}").cast("double").alias(name) for name in STATE])
 
 
 def window_inputs(bars: DataFrame, block: int, warmup: int) -> DataFrame:
@@ -51,41 +64,59 @@ def _result_schema(rows: DataFrame) -> T.StructType:
     return T.StructType(passed + [T.StructField(name, T.DoubleType()) for name in RESULTS])
 
 
-def _block_runner(block: int, reseed: bool, names: list[str]):
-    def run(rows: pa.Table, carry: pa.Table) -> pa.Table:
-        rows = rows.select(names).sort_by("slot")
-        own = rows.column("own").to_numpy().astype(bool)
-        slots = rows.column("slot").to_numpy()
-        keep = own.copy()
-        results = np.full((len(slots), len(RESULTS)), np.nan)
-        if own.any():
-            # nulls arrive as NaN
-            cols = {name: np.asarray(rows.column(name).to_numpy(), dtype=float) for name in INPUTS}
-            edge = int(rows.column("block")[0].as_py()) * block - 1
-            start = None
-            if carry.num_rows:
-                state = tuple(np.nan if v is None else v for v in (carry.column(c)[0].as_py() for c in STATE))
-                start = int(carry.column("slot")[0].as_py()), state
-            results = run_series(slots, cols, start, reseed)
-            if not reseed:
-                keep &= ~np.isnan(results[:, -1])
-            keep |= ~own & (slots == edge)
-        table = rows.filter(pa.array(keep))
-        for at, name in enumerate(RESULTS):
-            table = table.append_column(name, pa.array(results[keep, at], pa.float64(), from_pandas=True))
-        return table
+def _run_groups(table: pa.Table, block: int, reseed: bool) -> pa.Table:
+    """Results of whole block groups laid end to end, and only the rows to keep."""
+    names = [*PASSED, "block", "own"]
+    slots = table.column("slot").to_numpy()
+    own = table.column("own").to_numpy()
+    # nulls arrive as NaN
+    cols = {name: np.asarray(table.column(name).to_numpy(), dtype=float) for name in INPUTS}
+    carry = table.column("carry").combine_chunks()
+    given = {}
+    for at in np.flatnonzero(carry.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        values = carry[at].as_py()
+        given[at] = tuple(np.nan if values[name] is None else values[name] for name in STATE)
+    starts = table.column("starts").to_numpy()
+    results = run_series(apart(slots, starts), cols, given, reseed)
+    # edge rows tell which state a block with rows of its own started from
+    group = np.cumsum(starts) - 1
+    live = np.bincount(group, weights=own) > 0
+    edge = ~own & (slots == table.column("block").to_numpy() * block - 1) & live[group]
+    keep = edge | (own if reseed else own & ~np.isnan(results[:, -1]))
+    table, results = table.select(names).filter(pa.array(keep)), results[keep]
+    computed = [pa.array(results[:, at], from_pandas=True) for at in range(len(RESULTS))]
+    return pa.Table.from_arrays([*table.columns, *computed], names=[*names, *RESULTS])
+
+
+def _group_stream(block: int, reseed: bool):
+    """Feeds sorted rows to ``_run_groups``, never splitting a block; holds one block and one batch at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("starts").to_numpy(zero_copy_only=False))
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                whole = pa.Table.from_batches(held)
+                if whole.num_rows:
+                    yield from _run_groups(whole, block, reseed).to_batches()
+                held = [batch.slice(starts[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from _run_groups(pa.Table.from_batches(held), block, reseed).to_batches()
 
     return run
 
 
-def _run_blocks(rows: DataFrame, carry: DataFrame, block: int, reseed: bool) -> DataFrame:
-    schema = _result_schema(rows)
-    names = [*PASSED, "block", "own"]
-    return (
-        rows.groupBy(*BLOCK_KEY)
-        .cogroup(carry.groupBy(*BLOCK_KEY))
-        .applyInArrow(_block_runner(block, reseed, names), schema)
+def _run_blocks(rows: DataFrame, block: int, reseed: bool) -> DataFrame:
+    """State of the rows of each block. The window for ``starts`` demands whole, sorted blocks in one partition, which
+    the stream then relies on; its exchange and sort are those of the windows before it."""
+    order = Window.partitionBy(*BLOCK_KEY).orderBy("slot")
+    ready = rows.withColumn("starts", F.lag("slot").over(order).isNull()).select(
+        *PASSED, "block", "own", "carry", "starts"
     )
+    return ready.sortWithinPartitions(*BLOCK_KEY, "slot").mapInArrow(_group_stream(block, reseed), _result_schema(rows))
 
 
 def _differs(a: str, b: str, name: str) -> Column:
@@ -96,55 +127,51 @@ def _differs(a: str, b: str, name: str) -> Column:
 
 def _wrong_edges(done: DataFrame, block: int) -> DataFrame:
     """True carry rows for the blocks whose assumed edge state is not the one their predecessor reached."""
-    reached = done.filter(F.col("own") & (F.col("slot") % block == block - 1)).select(*CARRY_COLUMNS)
-    assumed = done.filter(~F.col("own")).select(*CARRY_COLUMNS)
+    columns = [*BLOCK_KEY, "slot", *STATE]
+    reached = done.filter(F.col("own") & (F.col("slot") % block == block - 1)).select(*columns)
+    assumed = done.filter(~F.col("own")).select(*columns)
     pairs = assumed.alias("assumed").join(reached.alias("reached"), ["bar_interval", "symbol", "slot"])
     differs = _differs("assumed", "reached", STATE[0])
     for name in STATE[1:]:
         differs = differs | _differs("assumed", "reached", name)
     return pairs.filter(differs).select(
-        "bar_interval", "symbol", F.col("assumed.block").alias("block"), "slot",
-        *[F.col(f"reached.{name}").alias(name) for name in STATE],
+        "bar_interval", "symbol", F.col("assumed.block").alias("block"), "slot", carry_of("reached.").alias("carry")
     )
 
 
-def empty_carry(bars: DataFrame) -> DataFrame:
-    kinds = {"bar_interval": T.StringType(), "symbol": T.StringType(), "block": T.LongType(), "slot": T.LongType()}
-    schema = T.StructType([T.StructField(name, kinds.get(name, T.DoubleType())) for name in CARRY_COLUMNS])
-    return bars.sparkSession.createDataFrame([], schema)
+def _as_inputs(done: DataFrame) -> DataFrame:
+    return done.filter("own").select(*PASSED, F.lit(True).alias("fresh"))
 
 
 def fold_blocks(
     bars: DataFrame,
-    carry: DataFrame | None = None,
     reseed: bool = True,
+    continued: bool = False,
     block: int = BLOCK_SLOTS,
     warmup: int = WARMUP_SLOTS,
 ) -> DataFrame:
-    """State of every fresh bar. ``bars`` has ``slot`` and ``fresh`` (false on bars given as context only)."""
+    """State of every fresh bar.
+
+    ``bars`` has ``slot``, ``fresh`` (false on bars given as context only) and ``carry`` (the state of the bar, where it is
+    known from an earlier run, else NULL). ``continued`` says that such context is there.
+    """
     if not LOOKBACK_BARS <= warmup <= block:
         raise ValueError(f"warm-up must be between {LOOKBACK_BARS} and the block length")
-    restarted = carry is not None
-    if restarted:
-        carry = carry.withColumn("block", int_div(F.col("slot") + 1, F.lit(block)))
-    else:
-        carry = empty_carry(bars)
     rows = window_inputs(bars, block, warmup)
-    done = materialize(_run_blocks(rows, carry.select(*CARRY_COLUMNS), block, reseed), "fold")
+    done = materialize(_run_blocks(rows, block, reseed), "fold")
     while True:
+        if done.filter(~F.col("own")).isEmpty():  # no series is longer than a block
+            return done
         wrong = _wrong_edges(done, block)
         if wrong.isEmpty():
             return done.filter("own")
         wrong = materialize(wrong, "edges")
-        blocks = wrong.select(*BLOCK_KEY)
-        # a restart needs its context bars again; otherwise the rows already computed hold all that is needed
-        source = rows if restarted else split_blocks(_as_inputs(done), block, LOOKBACK_BARS)
-        again = _run_blocks(source.join(blocks, BLOCK_KEY, "left_semi"), wrong, block, reseed)
-        done = materialize(done.join(blocks, BLOCK_KEY, "left_anti").unionByName(again), "fold")
-
-
-def _as_inputs(done: DataFrame) -> DataFrame:
-    return done.filter("own").select(*PASSED, F.lit(True).alias("fresh"))
+        # rows already computed hold all a block needs, unless it leans on context bars
+        source = rows.drop("carry") if continued else split_blocks(_as_inputs(done), block, LOOKBACK_BARS)
+        again = source.join(wrong.select(*BLOCK_KEY), BLOCK_KEY, "left_semi")
+        again = again.join(wrong, [*BLOCK_KEY, "slot"], "left")
+        redone = _run_blocks(again, block, reseed)
+        done = materialize(done.join(wrong, BLOCK_KEY, "left_anti").unionByName(redone), "fold")
 
 
 def finish_signals(state: DataFrame, update_time: Column | int) -> DataFrame:
@@ -173,5 +200,5 @@ def compute_signals(
     warmup: int = WARMUP_SLOTS,
 ) -> DataFrame:
     """Signals of whole bar series from scratch."""
-    fresh = with_slot(bars).withColumn("fresh", F.lit(True))
-    return finish_signals(fold_blocks(fresh, None, reseed, block, warmup), update_time)
+    fresh = with_slot(bars).withColumns({"fresh": F.lit(True), "carry": no_carry()})
+    return finish_signals(fold_blocks(fresh, reseed, False, block, warmup), update_time)

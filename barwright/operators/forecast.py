@@ -8,12 +8,13 @@ close as in the stored predictions; start-up observations have no residual.
 
 A series is cut into time blocks. A filter run from zero over a block plus a known multiple of the unknown carry is
 the true filter, so each block is summarised once (sums as polynomials of the carry) and the few summaries of a
-symbol are chained exactly, however long the series is. A second pass adds up absolute residuals with known carries.
+symbol are chained exactly, however long the series is. A second pass yields the residuals with known carries.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,86 +31,113 @@ from ..sources.candles import look_back
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_SECONDS = 4096 * 3600
+KEY = ["symbol", "block"]
 THETA_STEPS = 99  # theta = -0.99 .. 0.99
 PHI_LIMIT = 0.99
 # two-sided 95 % point of the normal distribution
 Z95 = 1.959963984540054
 
 CARRY_TERMS = ("s0_0", "s0_1", "s0_2", "s1_0", "s1_1", "s1_2", "s2_0", "s2_1", "s2_2")
-SUMMARY = (
-    "symbol string, block long, theta double, residuals long, p_end double, q_end double, p_before double, "
-    "q_before double, " + ", ".join(f"{name} double" for name in CARRY_TERMS)
-    + ", rows long, total double, last_time long, last_close double, close_before double, last_diff double"
-)
-ERRORS = "symbol string, block long, abs_sum double"
-
-
-def _second_differences(rows: pa.Table, context: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times and closes of a block in order, and the second differences its rows have."""
-    rows = rows.sort_by("open_time")
-    times, closes = (rows.column(name).to_numpy() for name in ("open_time", "close"))
-    before = []
-    if context.num_rows:
-        before = [context.column(name)[0].as_py() for name in ("close_2", "close_1")]
-        before = [value for value in before if value is not None]
-    return times, closes, np.diff(np.concatenate([before, closes]).astype(float), n=2)
-
-
-def _summarise(rows: pa.Table, context: pa.Table) -> pa.Table:
-    n_rows = rows.num_rows
-    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in SUMMARY.split(", "))])
-    if not n_rows:
-        return schema.empty_table()
-    times, closes, diffs = _second_differences(rows, context)
-    theta = np.arange(-THETA_STEPS, THETA_STEPS + 1) / 100.0
-    lanes = len(theta)
-    p, q = np.zeros(lanes), np.ones(lanes)
-    p_before, q_before = np.zeros(lanes), np.zeros(lanes)
-    sums = np.zeros((9, lanes))
-    for value in diffs:
-        p_before, q_before = p, q
-        p, q = value - theta * p_before, -theta * q_before
-        sums += (
-            p * p, 2 * p * q, q * q,
-            p * p_before, p * q_before + q * p_before, q * q_before,
-            p_before * p_before, 2 * p_before * q_before, q_before * q_before,
+FILTER_TERMS = ("p_end", "q_end", "p_before", "q_before", *CARRY_TERMS)
+SUMMARY = "symbol string, block long, theta double, residuals long, " + ", ".join(f"{n} double" for n in FILTER_TERMS)
+RESIDUALS = "symbol string, open_time long, residual double"
+
+
+def _thetas() -> np.ndarray:
+    return np.arange(-THETA_STEPS, THETA_STEPS + 1) / 100.0
+
+
+class _BlockFilter:
+    """Filter of one block for all thetas at once: from zero (p) and the multiple of its unknown carry (q)."""
+
+    def __init__(self, theta: np.ndarray):
+        self.theta, self.residuals = theta, 0
+        self.p, self.q = np.zeros_like(theta), np.ones_like(theta)
+        self.p_before, self.q_before = np.zeros_like(theta), np.zeros_like(theta)
+        self.sums = np.zeros((len(CARRY_TERMS), len(theta)))
+
+    def add(self, diff: float) -> None:
+        a, b = self.p, self.q
+        p, q = diff - self.theta * a, -self.theta * b
+        self.sums += (p * p, 2 * p * q, q * q, p * a, p * b + q * a, q * b, a * a, 2 * a * b, b * b)
+        self.p, self.q, self.p_before, self.q_before = p, q, a, b
+        self.residuals += 1
+
+    def rows(self, symbol: str, block: int) -> pa.RecordBatch:
+        n = len(self.theta)
+        values = [self.p, self.q, self.p_before, self.q_before, *self.sums]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([symbol] * n), pa.array(np.full(n, block)), pa.array(self.theta),
+             pa.array(np.full(n, self.residuals)), *[pa.array(v) for v in values]],
+            names=["symbol", "block", "theta", "residuals", *FILTER_TERMS],
         )
-    known = [context.column(name)[0].as_py() for name in ("close_2", "close_1")] if context.num_rows else [None, None]
-    tail = [v for v in [*known, *closes[-2:].tolist()] if v is not None]
-    columns = {
-        "symbol": [rows.column("symbol")[0].as_py()] * lanes,
-        "block": np.full(lanes, rows.column("block")[0].as_py()),
-        "theta": theta,
-        "residuals": np.full(lanes, len(diffs)),
-        "p_end": p, "q_end": q, "p_before": p_before, "q_before": q_before,
-        **dict(zip(CARRY_TERMS, sums)),
-        "rows": np.full(lanes, n_rows),
-        "total": np.full(lanes, closes.sum()),
-        "last_time": np.full(lanes, times[-1]),
-        "last_close": np.full(lanes, closes[-1]),
-        "close_before": np.full(lanes, tail[-2] if len(tail) > 1 else np.nan),
-        "last_diff": np.full(lanes, diffs[-1] if len(diffs) else np.nan),
-    }
-    return pa.table([pa.array(columns[f.name], f.type, from_pandas=True) for f in schema], schema=schema)
-
-
-def _absolute_errors(rows: pa.Table, fit: pa.Table) -> pa.Table:
-    schema = pa.schema([("symbol", pa.string()), ("block", pa.int64()), ("abs_sum", pa.float64())])
-    if not rows.num_rows or not fit.num_rows:
-        return schema.empty_table()
-    _, _, diffs = _second_differences(rows, fit)
-    theta, phi, filtered = (fit.column(name)[0].as_py() for name in ("theta", "phi", "carry"))
-    total = 0.0
-    for value in diffs.tolist():
-        before, filtered = filtered, value - theta * filtered
-        total += abs(filtered - phi * before)
-    return pa.table(
-        [[rows.column("symbol")[0].as_py()], [rows.column("block")[0].as_py()], [total]], schema=schema
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per theta and block from differences sorted by block and time."""
+    theta, current, key = _thetas(), None, None
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in ("symbol", "block", "starts", "diff")]
+        for symbol, block, starts, diff in zip(*columns):
+            if starts:
+                if current is not None:
+                    yield current.rows(*key)
+                current, key = _BlockFilter(theta), (symbol, block)
+            if diff is not None:
+                current.add(diff)
+    if current is not None:
+        yield current.rows(*key)
+
+
+def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Residual of every difference, given the fit of the symbol and the carry of its block."""
+    filtered = 0.0
+    for batch in batches:
+        names = ("starts", "diff", "theta", "phi", "carry")
+        errors = []
+        for starts, diff, theta, phi, carry in zip(*[batch.column(name).to_pylist() for name in names]):
+            if starts:
+                filtered = carry
+            if diff is None:
+                errors.append(None)
+            else:
+                before, filtered = filtered, diff - theta * filtered
+                errors.append(filtered - phi * before)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("symbol"), batch.column("open_time"), pa.array(errors, pa.float64())],
+            names=["symbol", "open_time", "residual"],
+        )
+
+
+def with_differences(rows: DataFrame) -> DataFrame:
+    """Previous close and second difference of every row, by windows over blocks only.
+
+    The two closes before a block come from the last two rows of the blocks before it, so no window spans a series.
+    """
+    order = Window.partitionBy(*KEY).orderBy("open_time")
+    placed = rows.withColumns(
+        {
+            "place": F.row_number().over(order),
+            "lag_1": F.lag("close", 1).over(order),
+            "lag_2": F.lag("close", 2).over(order),
+        }
+    ).join(_block_context(rows), KEY)
+    first, second = F.col("place") == 1, F.col("place") == 2
+    before = F.when(first, F.col("close_1")).otherwise(F.col("lag_1"))
+    older = F.when(first, F.col("close_2")).when(second, F.col("close_1")).otherwise(F.col("lag_2"))
+    return placed.select(
+        *KEY, "open_time", "close", before.alias("before"),
+        (F.col("close") - before * 2 + older).alias("diff"),
     )
 
 
-def with_block_context(rows: DataFrame) -> DataFrame:
+def _sorted_blocks(rows: DataFrame) -> DataFrame:
+    """Rows by block and time; the window for ``starts`` demands whole blocks in one partition."""
+    order = Window.partitionBy(*KEY).orderBy("open_time")
+    return rows.withColumn("starts", F.lag("open_time").over(order).isNull()).sortWithinPartitions(*KEY, "open_time")
+
+
+def _block_context(rows: DataFrame) -> DataFrame:
     """Per block, the last two closes before it: from each block's own last two rows, never from whole series."""
     order = Window.partitionBy("symbol", "block").orderBy(F.col("open_time").desc())
     tails = rows.withColumn("at", F.row_number().over(order)).filter("at <= 2")
@@ -127,9 +155,8 @@ def with_block_context(rows: DataFrame) -> DataFrame:
 
 def _chain(summaries: DataFrame) -> DataFrame:
     """Sums and filter states over all blocks of a symbol, per theta; the blocks' carries are kept."""
-    fields = ["block", "residuals", "p_end", "q_end", "p_before", "q_before", *CARRY_TERMS]
-    blocks = F.array_sort(F.collect_list(F.struct(*fields)))
-    grouped = summaries.groupBy("symbol", "theta").agg(blocks.alias("blocks"), F.max("block").alias("block"))
+    blocks = F.array_sort(F.collect_list(F.struct("block", "residuals", *FILTER_TERMS)))
+    grouped = summaries.groupBy("symbol", "theta").agg(blocks.alias("blocks"))
 
     def polynomial(b, name, c):
         return b[f"{name}_0"] + b[f"{name}_1"] * c + b[f"{name}_2"] * c * c
@@ -169,49 +196,42 @@ def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFr
         "symbol", F.col("open_time").cast("long").alias("open_time"), F.col("close").cast("double").alias("close"),
         int_div(F.col("open_time"), F.lit(block_seconds)).alias("block"),
     ).filter(F.col("close").isNotNull())
-    key = ["symbol", "block"]
-    context = with_block_context(rows)
-    summaries = rows.groupBy(*key).cogroup(context.groupBy(*key)).applyInArrow(_summarise, SUMMARY)
-    best = (
-        _chain(summaries)
-        .groupBy("symbol")
-        .agg(F.min_by(F.struct("theta", "phi", "sse", "n", "a", "a_before", "carries"), F.struct("sse", "theta")).alias("b"))
-        .select("symbol", "b.*")
-    )
-    last = (
-        summaries.filter(F.col("theta") == 0)
+    series = with_differences(rows)
+    summaries = _sorted_blocks(series.select(*KEY, "open_time", "diff")).mapInArrow(_summarise, SUMMARY)
+    chosen = F.min_by(F.struct("theta", "phi", "a", "a_before", "carries"), F.struct("sse", "theta"))
+    best = _chain(summaries).groupBy("symbol").agg(chosen.alias("b")).select("symbol", "b.*")
+    carries = best.select("symbol", "theta", "phi", F.inline("carries"))
+    errors = (
+        _sorted_blocks(series.select(*KEY, "open_time", "diff").join(carries, KEY))
+        .mapInArrow(_residuals, RESIDUALS)
         .groupBy("symbol")
         .agg(
-            F.sum("rows").alias("rows"),
-            F.sum("total").alias("total"),
-            F.max("last_time").alias("open_time"),
-            *[F.max_by(name, "block").alias(name) for name in ("last_close", "close_before", "last_diff")],
+            F.count("residual").alias("n"),
+            F.sum(F.col("residual") * F.col("residual")).alias("sse"),
+            F.sum(F.abs("residual")).alias("abs_sum"),
         )
     )
-    per_block = (
-        best.select("symbol", "theta", "phi", F.inline("carries"))
-        .join(context, key)
+    last = series.groupBy("symbol").agg(
+        F.avg("close").alias("mean_close"),
+        F.max("open_time").alias("open_time"),
+        *[F.max_by(name, "open_time").alias(name) for name in ("close", "before", "diff")],
     )
-    errors = (
-        rows.groupBy(*key).cogroup(per_block.groupBy(*key)).applyInArrow(_absolute_errors, ERRORS)
-        .groupBy("symbol").agg(F.sum("abs_sum").alias("abs_sum"))
-    )
-    fit = last.join(best.drop("carries"), "symbol").join(errors, "symbol", "left")
+    fit = last.join(best.drop("carries"), "symbol").join(errors, "symbol")
     residual = F.col("a") - F.col("phi") * F.col("a_before")
-    ahead = F.col("phi") * F.col("last_diff") + F.col("theta") * residual
-    spread = F.sqrt(safe_div(F.col("sse"), F.col("n"))) * Z95
-    mean_close = F.col("total") / F.col("rows")
-    return (
-        fit.withColumns(
-            {
-                "next_pred": F.col("last_close") * 2 - F.col("close_before") + ahead,
-                "last_price": F.col("last_close"),
-                "mse": safe_div(safe_div(F.col("sse"), F.col("n")), mean_close),
-                "mae": safe_div(safe_div(F.col("abs_sum"), F.col("n")), mean_close),
-            }
-        )
-        .withColumns({"lower": F.col("next_pred") - spread, "upper": F.col("next_pred") + spread})
-        .select("symbol", "open_time", "next_pred", "last_price", "lower", "upper", "mse", "mae", "phi", "theta")
+    ahead = F.col("phi") * F.col("diff") + F.col("theta") * residual
+    mean_square = safe_div(F.col("sse"), F.col("n"))
+    next_pred, spread = F.col("close") * 2 - F.col("before") + ahead, F.sqrt(mean_square) * Z95
+    return fit.select(
+        "symbol",
+        "open_time",
+        next_pred.alias("next_pred"),
+        F.col("close").alias("last_price"),
+        (next_pred - spread).alias("lower"),
+        (next_pred + spread).alias("upper"),
+        safe_div(mean_square, F.col("mean_close")).alias("mse"),
+        safe_div(safe_div(F.col("abs_sum"), F.col("n")), F.col("mean_close")).alias("mae"),
+        "phi",
+        "theta",
     )
 
 

@@ -32,53 +32,86 @@ def is_valid(state: tuple) -> bool:
     return short == short and short != 0 and long == long and long != 0 and state[8] == state[8] and state[12] == state[12]
 
 
-def _nan_mean(values: np.ndarray) -> float:
-    known = values[~np.isnan(values)]
-    return float(known.sum() / len(known)) if len(known) else NAN
+def _known_mean(values: np.ndarray) -> np.ndarray:
+    """Row means over the values that are not NaN; NaN where there is none."""
+    known = ~np.isnan(values)
+    count = known.sum(axis=1)
+    total = np.where(known, values, 0.0).sum(axis=1)
+    return np.divide(total, count, out=np.full(len(values), NAN), where=count > 0)
 
 
-def seed(first: int, i: int, cols: dict[str, np.ndarray]) -> tuple[tuple, float, float]:
-    """State of bar ``i`` from plain means over bars ``first..i`` (28 at most), and its previous averaged moves.
+def _trailing_sums(values: np.ndarray, width: int) -> np.ndarray:
+    padded = np.concatenate([np.zeros((len(values), width - 1)), values], axis=1)
+    return np.lib.stride_tricks.sliding_window_view(padded, width, axis=1).sum(axis=2)
 
-    The first bar in reach has no predecessor there, so its moves are zero.
+
+def seed_states(rows: np.ndarray, slots: np.ndarray, cols: dict[str, np.ndarray]) -> np.ndarray:
+    """States of the bars at positions ``rows`` from plain means over their 28 slots, with their previous averaged
+    moves (columns by ``STATE``, then two). The first bar in reach has no predecessor there: its moves are zero.
     """
-    rows = slice(first, i + 1)
-    n = i + 1 - first
-    moves = {}
-    for name in ("c_diff_p", "c_diff_n", "dm_p", "dm_n"):
-        moves[name] = cols[name][rows].copy()
-        moves[name][0] = 0.0
-    counts = np.minimum(np.arange(1, n + 1), LONG)
-    averaged = []
-    for name in ("dm_p", "dm_n"):
-        padded = np.concatenate([np.zeros(LONG - 1), moves[name]])
-        averaged.append(np.lib.stride_tricks.sliding_window_view(padded, LONG).sum(axis=1) / counts)
-    up, down = averaged
+    at = rows[:, None] - np.arange(LOOKBACK_BARS - 1, -1, -1)
+    inside = (at >= 0) & (slots[np.maximum(at, 0)] > slots[rows][:, None] - LOOKBACK_BARS)
+    at = np.maximum(at, 0)
+    count = np.cumsum(inside, axis=1)
+    moved = count > 1
+    gain, loss, plus, minus = (np.where(moved, cols[name][at], 0.0) for name in ("c_diff_p", "c_diff_n", "dm_p", "dm_n"))
+    found = count[:, -1]
+    short, long = np.minimum(found, SHORT), np.minimum(found, LONG)
+    width = np.maximum(np.minimum(count, LONG), 1)
+    up, down = _trailing_sums(plus, LONG) / width, _trailing_sums(minus, LONG) / width
     total = up + down
-    dx = np.full(n, NAN)
-    np.divide(up - down, total, out=dx, where=total != 0)
-    dx = np.abs(dx) * 100
-    gain, loss, span = moves["c_diff_p"], moves["c_diff_n"], cols["tr"][rows]
-    falling = loss[-1] > 0
-    ep = cols["low" if falling else "high"][i]
-    start = cols["ep15_h" if falling else "ep15_l"][i]
-    state = (
-        float(gain[-SHORT:].mean()),
-        float(gain[-LONG:].mean()),
-        float(loss[-SHORT:].mean()),
-        float(loss[-LONG:].mean()),
-        float(up[-1]),
-        float(down[-1]),
-        _nan_mean(span[-LONG:]),
-        _nan_mean(span),
-        _nan_mean(dx[-LONG:]),
-        1.0,
-        0.0 if falling else 1.0,
-        float(ep),
-        float(start + AF_STEP * (ep - start)),
+    dx = np.divide(up - down, total, out=np.full(total.shape, NAN), where=inside & (total != 0))
+    span = np.where(inside, cols["tr"][at], NAN)
+    falling = loss[:, -1] > 0
+    ep = np.where(falling, cols["low"][rows], cols["high"][rows])
+    start = np.where(falling, cols["ep15_h"][rows], cols["ep15_l"][rows])
+    before = np.where(found > 1, LOOKBACK_BARS - 2, LOOKBACK_BARS - 1)
+    line = np.arange(len(rows))
+    return np.stack(
+        [
+            gain[:, -SHORT:].sum(axis=1) / short,
+            gain[:, -LONG:].sum(axis=1) / long,
+            loss[:, -SHORT:].sum(axis=1) / short,
+            loss[:, -LONG:].sum(axis=1) / long,
+            up[:, -1],
+            down[:, -1],
+            _known_mean(span[:, -LONG:]),
+            _known_mean(span),
+            _known_mean(np.abs(dx[:, -LONG:]) * 100),
+            np.ones(len(rows)),
+            np.where(falling, 0.0, 1.0),
+            ep,
+            start + AF_STEP * (ep - start),
+            up[line, before],
+            down[line, before],
+        ],
+        axis=1,
     )
-    before = -2 if n > 1 else -1
-    return state, float(up[before]), float(down[before])
+
+
+class Seeds:
+    """Seed states of a run: bars without a predecessor at once, others in short batches when first asked for."""
+
+    BATCH = 32
+    CHUNK = 8192
+
+    def __init__(self, slots: np.ndarray, cols: dict[str, np.ndarray]):
+        self.slots, self.cols = slots, cols
+        alone = np.ones(len(slots), dtype=bool)
+        alone[1:] = np.diff(slots) > 1
+        wanted = np.flatnonzero(alone)
+        self.known: dict[int, list[float]] = {}
+        for part in range(0, len(wanted), self.CHUNK):
+            self._add(wanted[part : part + self.CHUNK])
+
+    def _add(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.known.update(zip(rows.tolist(), seed_states(rows, self.slots, self.cols).tolist()))
+
+    def at(self, i: int) -> list[float]:
+        if i not in self.known:
+            self._add(np.arange(i, min(i + self.BATCH, len(self.slots))))
+        return self.known[i]
 
 
 def step_stop(steps: float, rising: float, ep: float, stop: float, high: float, low: float, tr: float) -> tuple:
@@ -118,38 +151,49 @@ def step(state: tuple, gain: float, loss: float, up: float, down: float, tr: flo
     return smoothed + (adx,) + step_stop(*state[9:], high, low, tr)
 
 
+def apart(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Slots of several series laid end to end, shifted so that no series is in reach of the one before it."""
+    first = np.flatnonzero(starts)
+    last = np.append(first[1:], len(slots)) - 1
+    spans = slots[last] - slots[first] + LOOKBACK_BARS + 1
+    shift = np.concatenate([[0], np.cumsum(spans)[:-1]]) - slots[first]
+    return slots + np.repeat(shift, np.append(first[1:], len(slots)) - first)
+
+
 def run_series(
     slots: np.ndarray,
     cols: dict[str, np.ndarray],
-    carry: tuple[int, tuple] | None = None,
+    given: dict[int, tuple] | None = None,
     reseed: bool = True,
 ) -> np.ndarray:
     """Results (rows by ``RESULTS``) for bars in time order; NaN rows where a bar has no state.
 
-    ``carry`` is the slot and state of the bar the run continues from: earlier bars are context only. A bar steps
-    if the slot before it has a valid state, and is seeded otherwise. Without ``reseed`` it steps from whatever the
-    slot before holds and stays without state if that is missing.
+    A bar steps if the slot before it has a valid state, and is seeded otherwise. Without ``reseed`` it steps from
+    whatever the slot before holds and stays without state if that is missing. ``given`` states the true state of
+    bars (by position) the run continues from.
     """
     n = len(slots)
-    out = np.full((n, len(RESULTS)), NAN)
+    given = given or {}
+    blank = [NAN] * len(RESULTS)
+    out = [blank] * n
     times = slots.tolist()
     lists = [cols[name].tolist() for name in ("c_diff_p", "c_diff_n", "dm_p", "dm_n", "tr", "high", "low")]
-    previous_slot, state = carry if carry is not None else (None, None)
-    usable = state is not None and (not reseed or is_valid(state))
-    start = int(np.searchsorted(slots, previous_slot, side="right")) if carry is not None else 0
-    if carry is not None and start and times[start - 1] == previous_slot:
-        out[start - 1, : len(STATE)] = state
-    first_in_reach = np.searchsorted(slots, slots - (LOOKBACK_BARS - 1)) if reseed else None
-    for i in range(start, n):
-        if usable and times[i] - 1 == previous_slot:
+    seeds = Seeds(slots, cols) if reseed else None
+    state, usable, expected = None, False, None
+    for i, time in enumerate(times):
+        if i in given:
+            state = given[i]
+            out[i] = (*state, NAN, NAN, NAN)
+        elif usable and time == expected:
             before = state[4], state[5]
             state = step(state, *(values[i] for values in lists))
-            out[i] = state + before + (0.0,)
+            out[i] = (*state, *before, 0.0)
         elif reseed:
-            state, *before = seed(int(first_in_reach[i]), i, cols)
-            out[i] = state + tuple(before) + (1.0,)
+            seeded = seeds.at(i)
+            state = tuple(seeded[: len(STATE)])
+            out[i] = (*seeded, 1.0)
         else:
             state = None
-        previous_slot = times[i]
+        expected = time + 1
         usable = state is not None and (not reseed or is_valid(state))
-    return out
+    return np.array(out, dtype=float).reshape(n, len(RESULTS))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bars import interval_seconds, only_symbols, resample
-from ..operators.fold import BLOCK_SLOTS, WARMUP_SLOTS, compute_signals, finish_signals, fold_blocks
+from ..operators.blocks import BLOCK_SLOTS, WARMUP_SLOTS
+from ..operators.fold import carry_of, compute_signals, finish_signals, fold_blocks
 from ..operators.forecast import forecast_next
 from ..operators.indicators import with_slot
-from ..operators.recursion import SMOOTHED
+from ..operators.recursion import STATE
 from ..operators.watermarks import low_watermarks
 from ..schemas import BAR_COLUMNS, BAR_SECONDS, LOOKBACK_BARS, PIPELINE_INTERVALS
 from ..sources.tables import KeyedTable, shifted_predictions
@@ -30,16 +31,14 @@ def with_length(signals: DataFrame, lengths: Mapping[str, int] = BAR_SECONDS) ->
     return signals.withColumn("bar_seconds", by_label[F.col("bar_interval")].cast("long"))
 
 
-def stored_state(stored: DataFrame) -> DataFrame:
-    """Carry row per series from its newest stored signal row."""
-    names = [*SMOOTHED, "adx", "ep", "psar"]
-    newest = stored.groupBy(*SERIES).agg(
-        F.max("slot").alias("slot"),
-        F.max_by(F.round(F.col("af").cast("double") * 50), "slot").alias("af_steps"),
-        F.max_by(F.when(F.col("psar_type") == "UP", 1.0).otherwise(0.0), "slot").alias("rising"),
-        *[F.max_by(name, "slot").alias(name) for name in names],
+def with_state(stored: DataFrame) -> DataFrame:
+    """Stored rows with the state columns that are kept in another form."""
+    return stored.withColumns(
+        {
+            "af_steps": F.round(F.col("af").cast("double") * 50),
+            "rising": F.when(F.col("psar_type") == "UP", 1.0).otherwise(0.0),
+        }
     )
-    return newest
 
 
 def continue_signals(
@@ -56,29 +55,35 @@ def continue_signals(
     Only the newest stored row is state. The 28 slots before the new bars serve as context: they come from the stored
     rows, or, where ``starts`` names the first new bar per interval, from ``bars``, which then reach back far enough.
     """
-    stored = with_slot(with_length(stored))
-    carry = stored_state(stored)
+    stored = with_state(with_slot(with_length(stored)))
+    newest = stored.groupBy(*SERIES).agg(
+        F.max("slot").alias("stored_slot"), *[F.max_by(name, "slot").alias(f"stored_{name}") for name in STATE]
+    )
     newer = F.coalesce(F.col("slot") > F.col("stored_slot"), F.lit(True))
     if starts is not None:
         for label, start in starts.items():
             newer = newer & ((F.col("bar_interval") != label) | (F.col("bar_start") >= start))
-    columns = [*BAR_COLUMNS, "bar_seconds", "slot", "fresh"]
-    rows = (
-        with_slot(bars)
-        .join(carry.select(*SERIES, F.col("slot").alias("stored_slot")), SERIES, "left")
-        .withColumn("fresh", newer)
-        .select(*columns)
+    columns = [*BAR_COLUMNS, "bar_seconds", "slot", "fresh", "carry"]
+    known = F.col("slot") == F.col("stored_slot")
+    rows = with_slot(bars).join(newest, SERIES, "left").withColumns(
+        {"fresh": newer, "carry": F.when(known, carry_of("stored_"))}
     )
     if starts is None:
         rows = rows.filter("fresh")
-        first_new = rows.groupBy(*SERIES).agg(F.min("slot").alias("first_new"))
+        first_new = rows.groupBy(*SERIES).agg(F.min("slot").alias("first_new"), F.max("stored_slot").alias("stored_slot"))
         context = (
             stored.join(first_new, SERIES)
             .filter(F.col("slot") > F.col("first_new") - LOOKBACK_BARS)
-            .withColumns({"close_time": F.col("bar_start") + F.col("bar_seconds"), "fresh": F.lit(False)})
+            .withColumns(
+                {
+                    "close_time": F.col("bar_start") + F.col("bar_seconds"),
+                    "fresh": F.lit(False),
+                    "carry": F.when(known, carry_of()),
+                }
+            )
         )
-        rows = rows.unionByName(context.select(*columns))
-    return finish_signals(fold_blocks(rows, carry, reseed, block, warmup), update_time)
+        rows = rows.select(*columns).unionByName(context.select(*columns))
+    return finish_signals(fold_blocks(rows.select(*columns), reseed, True, block, warmup), update_time)
 
 
 def catch_up_signals(

@@ -65,10 +65,8 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         for old, name in ((highs, "high"), (lows, "low"), (closes, "close"))
     ]
     cols = bounded_columns(all_slots, *prices)
-    start = None
-    if carry is not None:
-        start = int(slots[-1]), tuple(np.nan if value is None else value for value in carry)
-    results = run_series(all_slots, cols, start)
+    given = {known - 1: tuple(np.nan if value is None else value for value in carry)} if known else {}
+    results = run_series(all_slots, cols, given)
     tail = all_slots > all_slots[-1] - LOOKBACK_BARS
     state.update((
         all_slots[tail].tolist(),
