@@ -2,9 +2,9 @@
 
 With w the second difference of the close, residuals follow e[t] = w[t] - phi*w[t-1] - theta*e[t-1] and start at
 zero. Filtering by theta alone gives a[t] = w[t] - theta*a[t-1], and e[t] = a[t] - phi*a[t-1]: for each theta the best
-phi is a ratio of two sums, so only theta is searched, on a grid of 0.01 steps. The fit approximates the maximum
-likelihood estimate and is not equal to it. ``mse`` and ``mae`` are errors of the residuals, each divided by the mean
-close as in the stored predictions; start-up observations have no residual.
+phi is a ratio of two sums, so only theta is searched, on a grid of 0.01 steps; of equal fits the theta nearest to zero
+counts. The fit approximates the maximum likelihood estimate and is not equal to it. ``mse`` and ``mae`` are errors of
+the residuals, each divided by the mean close as in the stored predictions; start-up observations have no residual.
 
 A series is cut into time blocks. A filter run from zero over a block plus a known multiple of the unknown carry is
 the true filter, so each block is summarised once (sums as polynomials of the carry) and the few summaries of a
@@ -38,7 +38,7 @@ PHI_LIMIT = 0.99
 Z95 = 1.959963984540054
 
 CARRY_TERMS = ("s0_0", "s0_1", "s0_2", "s1_0", "s1_1", "s1_2", "s2_0", "s2_1", "s2_2")
-FILTER_TERMS = ("p_end", "q_end", "p_before", "q_before", *CARRY_TERMS)
+FILTER_TERMS = ("p_end", "q_end", "p_before", "q_before", *CARRY_TERMS, "power")
 SUMMARY = "symbol string, block long, theta double, residuals long, " + ", ".join(f"{n} double" for n in FILTER_TERMS)
 RESIDUALS = "symbol string, open_time long, residual double"
 
@@ -55,6 +55,7 @@ class _BlockFilter:
         self.p, self.q = np.zeros_like(theta), np.ones_like(theta)
         self.p_before, self.q_before = np.zeros_like(theta), np.zeros_like(theta)
         self.sums = np.zeros((len(CARRY_TERMS), len(theta)))
+        self.power = 0.0
 
     def add(self, diff: float) -> None:
         a, b = self.p, self.q
@@ -62,10 +63,11 @@ class _BlockFilter:
         self.sums += (p * p, 2 * p * q, q * q, p * a, p * b + q * a, q * b, a * a, 2 * a * b, b * b)
         self.p, self.q, self.p_before, self.q_before = p, q, a, b
         self.residuals += 1
+        self.power += diff * diff
 
     def rows(self, symbol: str, block: int) -> pa.RecordBatch:
         n = len(self.theta)
-        values = [self.p, self.q, self.p_before, self.q_before, *self.sums]
+        values = [self.p, self.q, self.p_before, self.q_before, *self.sums, np.full(n, self.power)]
         return pa.RecordBatch.from_arrays(
             [pa.array([symbol] * n), pa.array(np.full(n, block)), pa.array(self.theta),
              pa.array(np.full(n, self.residuals)), *[pa.array(v) for v in values]],
@@ -154,7 +156,11 @@ def _block_context(rows: DataFrame) -> DataFrame:
 
 
 def _chain(summaries: DataFrame) -> DataFrame:
-    """Sums and filter states over all blocks of a symbol, per theta; the blocks' carries are kept."""
+    """Sums and filter states over all blocks of a symbol, per theta; the blocks' carries are kept.
+
+    ``misfit`` is the squared error relative to the differences themselves, to ten digits: thetas that fit equally well
+    (short or straight series) tie instead of differing by rounding noise.
+    """
     blocks = F.array_sort(F.collect_list(F.struct("block", "residuals", *FILTER_TERMS)))
     grouped = summaries.groupBy("symbol", "theta").agg(blocks.alias("blocks"))
 
@@ -167,14 +173,14 @@ def _chain(summaries: DataFrame) -> DataFrame:
         return F.struct(
             F.when(has, b["p_end"] + b["q_end"] * c).otherwise(c).alias("a"),
             F.when(has, b["p_before"] + b["q_before"] * c).otherwise(acc["a_before"]).alias("a_before"),
-            (acc["n"] + b["residuals"]).alias("n"),
+            (acc["power"] + b["power"]).alias("power"),
             *[(acc[name] + polynomial(b, name, c)).alias(name) for name in ("s0", "s1", "s2")],
             F.concat(acc["carries"], F.array(F.struct(b["block"].alias("block"), c.alias("carry")))).alias("carries"),
         )
 
     zero = F.lit(0.0)
     start = F.struct(
-        zero.alias("a"), zero.alias("a_before"), F.lit(0).cast("long").alias("n"),
+        zero.alias("a"), zero.alias("a_before"), zero.alias("power"),
         zero.alias("s0"), zero.alias("s1"), zero.alias("s2"),
         F.array().cast("array<struct<block:bigint,carry:double>>").alias("carries"),
     )
@@ -184,7 +190,7 @@ def _chain(summaries: DataFrame) -> DataFrame:
     phi = F.greatest(F.least(F.coalesce(safe_div(F.col("s1"), F.col("s2")), zero), F.lit(PHI_LIMIT)), F.lit(-PHI_LIMIT))
     chained = chained.withColumn("phi", phi)
     sse = F.col("s0") - F.col("phi") * F.col("s1") * 2 + F.col("phi") * F.col("phi") * F.col("s2")
-    return chained.withColumn("sse", F.greatest(sse, zero))
+    return chained.withColumn("misfit", F.round(F.coalesce(safe_div(sse, F.col("power")), zero), 10))
 
 
 def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
@@ -198,7 +204,7 @@ def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFr
     ).filter(F.col("close").isNotNull())
     series = with_differences(rows)
     summaries = _sorted_blocks(series.select(*KEY, "open_time", "diff")).mapInArrow(_summarise, SUMMARY)
-    chosen = F.min_by(F.struct("theta", "phi", "a", "a_before", "carries"), F.struct("sse", "theta"))
+    chosen = F.min_by(F.struct("theta", "phi", "a", "a_before", "carries"), F.struct("misfit", F.abs("theta"), "theta"))
     best = _chain(summaries).groupBy("symbol").agg(chosen.alias("b")).select("symbol", "b.*")
     carries = best.select("symbol", "theta", "phi", F.inline("carries"))
     errors = (

@@ -260,6 +260,12 @@ def forecast_fit(spark, sf_dir):
     return rounded(fit, ["next_pred", "lower", "upper", "mse", "mae", "phi"], 4)
 
 
+def forecast_many_symbols(spark, sf_dir):
+    bars = _bars(spark, sf_dir, ["4h"], market.symbol_by_user())
+    fit = fit_symbols(bars.select("symbol", F.col("bar_start").alias("open_time"), "close"))
+    return rounded(fit, ["next_pred", "lower", "upper", "mse", "mae", "phi"], 4)
+
+
 def forecast_lookback(spark, sf_dir):
     prices = market.base_candles(spark, sf_dir).select("symbol", "open_time", "close")
     return rounded(forecast_next(prices, None, 20 * 86400), ["next_pred", "lower", "upper", "mse", "mae"], 4)
@@ -383,6 +389,7 @@ CATALOGUE: dict[str, Query] = {
     "low_watermarks": low_watermark_row,
     "signals_restart": signals_restart,
     "forecast_next": forecast_fit,
+    "forecast_many_symbols": forecast_many_symbols,
     "forecast_lookback": forecast_lookback,
     "coin_prices": coin_prices,
     "latest_semi_join": latest_semi_join,
