@@ -27,6 +27,7 @@ from ..schemas import BAR_COLUMNS, LOOKBACK_BARS, SIGNALS
 from ..session import materialize
 from . import recursion
 from .blocks import BLOCK_KEY, BLOCK_SLOTS, WARMUP_SLOTS, split_blocks
+from .groups import whole_groups
 from .indicators import with_direction, with_extremes, with_line_cross, with_moves, with_previous, with_rsi, with_slot
 from .recursion import INPUTS, RESULTS, STATE, apart, run_series
 
@@ -89,22 +90,9 @@ def _run_groups(table: pa.Table, block: int, reseed: bool) -> pa.Table:
 
 
 def _group_stream(block: int, reseed: bool):
-    """Feeds sorted rows to ``_run_groups``, never splitting a block; holds one block and one batch at most."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            starts = np.flatnonzero(batch.column("starts").to_numpy(zero_copy_only=False))
-            if len(starts):
-                held.append(batch.slice(0, starts[-1]))
-                whole = pa.Table.from_batches(held)
-                if whole.num_rows:
-                    yield from _run_groups(whole, block, reseed).to_batches()
-                held = [batch.slice(starts[-1])]
-            else:
-                held.append(batch)
-        if held:
-            yield from _run_groups(pa.Table.from_batches(held), block, reseed).to_batches()
+        for table in whole_groups(batches):
+            yield from _run_groups(table, block, reseed).to_batches()
 
     return run
 

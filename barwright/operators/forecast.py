@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 from ..functions.numeric import safe_div
 from ..functions.timegrid import int_div
 from ..schemas import FORECAST_LOOKBACK, PREDICTIONS
+from ..session import materialize
 from ..sources.candles import look_back
+from .groups import whole_groups
 
 # Tasks get the block functions by value, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_SECONDS = 4096 * 3600
 KEY = ["symbol", "block"]
+GROUPS_AT_ONCE = 128
 THETA_STEPS = 99  # theta = -0.99 .. 0.99
 PHI_LIMIT = 0.99
 # two-sided 95 % point of the normal distribution
@@ -47,48 +50,58 @@ def _thetas() -> np.ndarray:
     return np.arange(-THETA_STEPS, THETA_STEPS + 1) / 100.0
 
 
-class _BlockFilter:
-    """Filter of one block for all thetas at once: from zero (p) and the multiple of its unknown carry (q)."""
-
-    def __init__(self, theta: np.ndarray):
-        self.theta, self.residuals = theta, 0
-        self.p, self.q = np.zeros_like(theta), np.ones_like(theta)
-        self.p_before, self.q_before = np.zeros_like(theta), np.zeros_like(theta)
-        self.sums = np.zeros((len(CARRY_TERMS), len(theta)))
-        self.power = 0.0
-
-    def add(self, diff: float) -> None:
-        a, b = self.p, self.q
-        p, q = diff - self.theta * a, -self.theta * b
-        self.sums += (p * p, 2 * p * q, q * q, p * a, p * b + q * a, q * b, a * a, 2 * a * b, b * b)
-        self.p, self.q, self.p_before, self.q_before = p, q, a, b
-        self.residuals += 1
-        self.power += diff * diff
-
-    def rows(self, symbol: str, block: int) -> pa.RecordBatch:
-        n = len(self.theta)
-        values = [self.p, self.q, self.p_before, self.q_before, *self.sums, np.full(n, self.power)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([symbol] * n), pa.array(np.full(n, block)), pa.array(self.theta),
-             pa.array(np.full(n, self.residuals)), *[pa.array(v) for v in values]],
-            names=["symbol", "block", "theta", "residuals", *FILTER_TERMS],
-        )
+def _filter_groups(diffs: np.ndarray, first: np.ndarray, length: np.ndarray, theta: np.ndarray) -> list[np.ndarray]:
+    """Filter sums of several blocks and all thetas at once (arrays of block by theta, named by ``FILTER_TERMS``).
+
+    From zero (p), and the multiple (q) of each block's unknown carry. Blocks come longest first, so that those still
+    running are always the leading ones.
+    """
+    shape = len(first), len(theta)
+    p, q, p_before, q_before = np.zeros(shape), np.ones(shape), np.zeros(shape), np.zeros(shape)
+    sums = np.zeros((len(CARRY_TERMS), *shape))
+    power = np.zeros(shape)
+    for t in range(int(length[0])):
+        live = slice(0, int(np.searchsorted(-length, -t)))
+        diff = diffs[first[live] + t][:, None]
+        a, b = p[live], q[live]
+        new_p, new_q = diff - theta * a, -theta * b
+        for total, term in zip(sums, (
+            new_p * new_p, 2 * new_p * new_q, new_q * new_q,
+            new_p * a, new_p * b + new_q * a, new_q * b,
+            a * a, 2 * a * b, b * b,
+        )):
+            total[live] += term
+        power[live] += diff * diff
+        p_before[live], q_before[live] = a, b
+        p[live], q[live] = new_p, new_q
+    return [p, q, p_before, q_before, *sums, power]
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per theta and block from differences sorted by block and time."""
-    theta, current, key = _thetas(), None, None
-    for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in ("symbol", "block", "starts", "diff")]
-        for symbol, block, starts, diff in zip(*columns):
-            if starts:
-                if current is not None:
-                    yield current.rows(*key)
-                current, key = _BlockFilter(theta), (symbol, block)
-            if diff is not None:
-                current.add(diff)
-    if current is not None:
-        yield current.rows(*key)
+    """One row per block and theta from differences sorted by block and time."""
+    theta = _thetas()
+    for table in whole_groups(batches):
+        starts = np.flatnonzero(table.column("starts").to_numpy())
+        diffs = np.asarray(table.column("diff").to_numpy(), dtype=float)
+        known = np.concatenate([[0], np.cumsum(~np.isnan(diffs))])
+        ends = np.append(starts[1:], len(diffs))
+        # differences are only missing on the first rows of a series
+        length = known[ends] - known[starts]
+        order = np.argsort(-length, kind="stable")
+        for part in range(0, len(order), GROUPS_AT_ONCE):
+            chosen = order[part : part + GROUPS_AT_ONCE]
+            terms = _filter_groups(diffs, ends[chosen] - length[chosen], length[chosen], theta)
+            rows = pa.array(np.repeat(starts[chosen], len(theta)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    table.column("symbol").combine_chunks().take(rows),
+                    table.column("block").combine_chunks().take(rows),
+                    pa.array(np.tile(theta, len(chosen))),
+                    pa.array(np.repeat(length[chosen], len(theta))),
+                    *[pa.array(term.ravel()) for term in terms],
+                ],
+                names=["symbol", "block", "theta", "residuals", *FILTER_TERMS],
+            )
 
 
 def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +215,7 @@ def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFr
         "symbol", F.col("open_time").cast("long").alias("open_time"), F.col("close").cast("double").alias("close"),
         int_div(F.col("open_time"), F.lit(block_seconds)).alias("block"),
     ).filter(F.col("close").isNotNull())
-    series = with_differences(rows)
+    series = materialize(with_differences(rows), "series")
     summaries = _sorted_blocks(series.select(*KEY, "open_time", "diff")).mapInArrow(_summarise, SUMMARY)
     chosen = F.min_by(F.struct("theta", "phi", "a", "a_before", "carries"), F.struct("misfit", F.abs("theta"), "theta"))
     best = _chain(summaries).groupBy("symbol").agg(chosen.alias("b")).select("symbol", "b.*")

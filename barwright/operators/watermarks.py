@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .bars import interval_seconds
 
 
-def low_watermarks(
+def stored_marks(
     base: DataFrame,
     signals: DataFrame,
     end: int,
@@ -20,8 +20,7 @@ def low_watermarks(
 ) -> DataFrame:
     """One row: the end of the base data, and per interval the bar end the slowest series continues at.
 
-    ``time_<label>`` is the least over symbols of the newest bar start plus two lengths; without any signal row it
-    is the end. Both tables reduce on the map side; the one-row results meet in a union and one conditional aggregate,
+    ``time_<label>`` is the least over symbols of the newest bar start plus two lengths, NULL without any row. Both tables reduce on the map side; the one-row results meet in a union and one conditional aggregate,
     not in a join.
     """
     lengths = interval_seconds(intervals)
@@ -40,10 +39,21 @@ def low_watermarks(
         .select("kind", "mark")
         .unionByName(data_end.select(F.lit("base").alias("kind"), "mark"))
     )
-    row = newest.agg(
+    return newest.agg(
         F.coalesce(F.max(F.when(F.col("kind") == "base", F.col("mark"))), F.lit(end).cast("long")).alias("end_time"),
         *[F.min(F.when(F.col("kind") == label, F.col("mark"))).alias(f"time_{label}") for label in lengths],
     )
-    return row.select(
+
+
+def low_watermarks(
+    base: DataFrame,
+    signals: DataFrame,
+    end: int,
+    intervals: Iterable[str] | Mapping[str, int],
+    base_length: int = 300,
+) -> DataFrame:
+    """``stored_marks`` where an interval without any row continues at the end of the base data."""
+    lengths = interval_seconds(intervals)
+    return stored_marks(base, signals, end, lengths, base_length).select(
         "end_time", *[F.coalesce(f"time_{label}", "end_time").alias(f"time_{label}") for label in lengths]
     )

@@ -13,7 +13,7 @@ from ..operators.fold import carry_of, compute_signals, finish_signals, fold_blo
 from ..operators.forecast import forecast_next
 from ..operators.indicators import with_slot
 from ..operators.recursion import STATE
-from ..operators.watermarks import low_watermarks
+from ..operators.watermarks import stored_marks
 from ..schemas import BAR_COLUMNS, BAR_SECONDS, LOOKBACK_BARS, PIPELINE_INTERVALS
 from ..sources.tables import KeyedTable, shifted_predictions
 
@@ -104,16 +104,15 @@ def catch_up_signals(
     lengths = interval_seconds(intervals)
     stored = only_symbols(table.rows().filter(F.col("bar_interval").isin(list(lengths))), symbols)
     source = only_symbols(base, symbols).filter(F.col("open_time") < end)
-    begun = {row["bar_interval"] for row in stored.select("bar_interval").distinct().collect()}
+    marks = stored_marks(source, stored, end, lengths, base_length).first()
     starts = None
-    if begun == set(lengths):
-        marks = low_watermarks(source, stored, end, lengths, base_length).first()
+    if None not in tuple(marks):
         starts = {label: marks[f"time_{label}"] - length for label, length in lengths.items()}
         oldest = min(starts[label] - LOOKBACK_BARS * length for label, length in lengths.items())
         source = source.filter(F.col("open_time") >= oldest)
         stored = only_symbols(table.since(oldest).filter(F.col("bar_interval").isin(list(lengths))), symbols)
     bars = closed_bars(resample(source, lengths), end)
-    table.insert_ignore(continue_signals(bars, stored, end, reseed, starts))
+    table.insert_ignore(continue_signals(bars, stored, end, reseed, starts), unique=True)
 
 
 def rebuild_signals(base: DataFrame, intervals: Iterable[str] | Mapping[str, int], end: int | None = None) -> DataFrame:

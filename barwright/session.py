@@ -20,6 +20,10 @@ def build_session(app_name: str = "barwright", master: str | None = None, **conf
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
+    if not (master or "").startswith("local"):
+        # many small initial partitions, joined at run time to what a task can hold without spilling
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8192")
+        settings.setdefault("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -5,12 +5,16 @@ An event is a trade of its kind's (or its user's) symbol at a price in whole cen
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import epoch_seconds
 from ..operators.bars import candles_from_ticks
-from ..schemas import LANDED_CANDLES, PATTERNS, PREDICTIONS
+from ..operators.blocks import over_blocks
+from ..operators.indicators import with_previous, with_slot
+from ..schemas import LANDED_CANDLES, LOOKBACK_BARS, PATTERNS, PREDICTIONS
 
 BASE_SECONDS = 3600
 PATTERN_BARS = 5
@@ -67,20 +71,17 @@ def landed_candles(trades: DataFrame) -> DataFrame:
 
 
 def naive_predictions(bars: DataFrame) -> DataFrame:
-    """Stored prediction rows: each bar extrapolated from its predecessor."""
-    order = Window.partitionBy("symbol").orderBy("bar_start")
-    rows = bars.withColumn("before", F.lag("close").over(order)).filter(F.col("before").isNotNull())
+    """Stored prediction rows: each bar extrapolated from its predecessor (from itself where there is none)."""
+    rows = over_blocks(with_slot(bars), with_previous)
     zero = F.lit(0.0)
     return rows.select(
-        "symbol", F.col("bar_start").alias("open_time"), (F.col("close") * 2 - F.col("before")).alias("next_pred"),
+        "symbol", F.col("bar_start").alias("open_time"), (F.col("close") * 2 - F.col("pc")).alias("next_pred"),
         F.col("close").alias("last_price"), zero.alias("lower"), zero.alias("upper"), zero.alias("mse"), zero.alias("mae"),
     ).select(*PREDICTIONS.names)
 
 
 def price_patterns(bars: DataFrame) -> DataFrame:
     """Stored pattern rows: each symbol's last five closes beside those of the next symbol on the same day."""
-    frame = Window.partitionBy("symbol").orderBy("bar_start").rowsBetween(-(PATTERN_BARS - 1), 0)
-
     def printed(values: Column) -> Column:
         return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("long").cast("string")), " "), F.lit("]"))
 
@@ -93,11 +94,19 @@ def price_patterns(bars: DataFrame) -> DataFrame:
     def rows_of(*vectors: Column) -> Column:
         return F.concat(F.lit("["), F.concat_ws(" ", *[printed(v) for v in vectors]), F.lit("]"))
 
-    day = bars.select(
-        "symbol", "bar_start",
-        F.collect_list("close").over(frame).alias("closes"),
-        F.collect_list("open").over(frame).alias("opens"),
-    ).filter(F.size("closes") == PATTERN_BARS)
+    def last_bars(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        frame = Window.partitionBy(*keys).orderBy("slot").rowsBetween(-(PATTERN_BARS - 1), 0)
+        return rows.withColumns(
+            {
+                "closes": F.collect_list("close").over(frame),
+                "opens": F.collect_list("open").over(frame),
+                "oldest": F.min("slot").over(frame),
+            }
+        )
+
+    day = over_blocks(with_slot(bars), last_bars).filter(
+        (F.size("closes") == PATTERN_BARS) & (F.col("oldest") > F.col("slot") - LOOKBACK_BARS)
+    )
     beside = Window.partitionBy("bar_start").orderBy("symbol")
     paired = day.select(
         F.col("symbol").alias("symbol2"), F.col("bar_start").alias("end_date"), "closes",

@@ -49,19 +49,19 @@ class KeyedTable:
             *self.schema.names
         )
 
-    def insert_ignore(self, batch: DataFrame) -> None:
-        """Append the rows whose key is new."""
+    def insert_ignore(self, batch: DataFrame, unique: bool = False) -> None:
+        """Append the rows whose key is new. ``unique`` says that the batch holds no key twice."""
         day = day_of(F.col(self.time))
         batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).withColumn("day", day)
         bounds = batch.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
         if bounds["first"] is None:
             return
         present = self.read().filter(F.col("day").between(bounds["first"], bounds["last"]))
-        fresh = insert_ignore(present, batch, self.key)
-        (
-            fresh.repartition(*self.partitions, F.hash(*self.key) % 8)
-            .write.mode("append").partitionBy(*self.partitions).parquet(self.path)
-        )
+        if not unique:
+            batch = first_per_key(batch, self.key)
+        fresh = batch.join(present.select(*self.key), self.key, "left_anti")
+        # files by partition; adaptive execution splits large partitions and joins small ones
+        fresh.hint("rebalance", *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
 
 
 def first_per_key(batch: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:

@@ -35,9 +35,10 @@ def canonical(names, rows):
     return sorted(names), sorted([tuple(normal(row[i]) for i in order) for row in rows], key=repr)
 
 
-def compare(spark, con, sf_dir: str, query, sql: str) -> tuple[str, int, float, float]:
+def compare(spark, con, sf_dir: str, query, sql: str, check=lambda df: None) -> tuple[str, int, float, float]:
     started = time.time()
     df = query(spark, sf_dir)
+    check(df)
     left = canonical(df.columns, [tuple(r) for r in df.collect()])
     spark_time = time.time() - started
     started = time.time()

@@ -5,9 +5,6 @@ import pytest
 import __spark_entry__ as entry
 from oracle import compare, connect
 
-EAGER = ("stream_bars", "stream_signals")
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -17,19 +14,19 @@ def test_every_query_has_its_sql():
     assert entry.queries().keys() == entry.oracle_sql().keys()
 
 
+def no_cross_or_nested_loop_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_equals_sql(spark, con, sf_dir, name):
-    verdict, rows, _, _ = compare(spark, con, sf_dir, entry.queries()[name], entry.oracle_sql()[name])
+    query, sql = entry.queries()[name], entry.oracle_sql()[name]
+    verdict, rows, _, _ = compare(spark, con, sf_dir, query, sql, no_cross_or_nested_loop_join)
     assert verdict == "equal"
     assert rows or name.startswith("top_")
 
 
-@pytest.mark.parametrize("name", [name for name in entry.queries() if name not in EAGER])
-def test_no_cross_or_nested_loop_join(spark, sf_dir, name):
-    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 150 and df.columns[0] == "symbol"
