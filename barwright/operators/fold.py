@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import safe_div
 from ..functions.timegrid import int_div
-from ..schemas import BAR_COLUMNS, LOOKBACK_BARS, SIGNALS
+from ..schemas import LOOKBACK_BARS, SIGNALS, VALUE_COLUMNS
 from ..session import materialize
 from . import recursion
 from .blocks import BLOCK_KEY, BLOCK_SLOTS, WARMUP_SLOTS, split_blocks
@@ -38,8 +38,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Edge states agree if they differ by less than this, relative to their size: rounding noise of the smoothing.
 TOLERANCE = 1e-12
 
+# Columns that travel through the tasks; moves and derived values are cheaper to compute again than to ship.
 PASSED = [
-    *BAR_COLUMNS, "bar_seconds", "slot", "ph", "pl", "pc", "tr", "c_diff_p", "c_diff_n", "dm_p", "dm_n",
+    "bar_interval", "symbol", "bar_start", "open_time", *VALUE_COLUMNS, "slot", "ph", "pl", "pc",
     "ep14_h", "ep14_l", "ep15_h", "ep15_l", "ep28_h", "ep28_l",
 ]
 # State a run continues from, on the bar it belongs to.
@@ -57,7 +58,7 @@ def carry_of(prefix: str = "") -> Column:
 def window_inputs(bars: DataFrame, block: int, warmup: int) -> DataFrame:
     """Per-block rows with every column that does not depend on the recursion; one exchange, one sort."""
     rows = split_blocks(bars, block, warmup)
-    return with_extremes(with_moves(with_previous(rows, BLOCK_KEY)), BLOCK_KEY)
+    return with_extremes(with_previous(rows, BLOCK_KEY), BLOCK_KEY)
 
 
 def _result_schema(rows: DataFrame) -> T.StructType:
@@ -84,7 +85,9 @@ def _run_groups(table: pa.Table, block: int, reseed: bool) -> pa.Table:
     live = np.bincount(group, weights=own) > 0
     edge = ~own & (slots == table.column("block").to_numpy() * block - 1) & live[group]
     keep = edge | (own if reseed else own & ~np.isnan(results[:, -1]))
-    table, results = table.select(names).filter(pa.array(keep)), results[keep]
+    table = table.select(names)
+    if not keep.all():
+        table, results = table.filter(pa.array(keep)), results[keep]
     computed = [pa.array(results[:, at], from_pandas=True) for at in range(len(RESULTS))]
     return pa.Table.from_arrays([*table.columns, *computed], names=[*names, *RESULTS])
 
@@ -165,7 +168,7 @@ def fold_blocks(
 def finish_signals(state: DataFrame, update_time: Column | int) -> DataFrame:
     """Signal rows from bars and state: everything that is a plain expression of the smoothed values."""
     seeded = F.col("seeded") == 1
-    rows = with_line_cross(with_rsi(with_direction(state)))
+    rows = with_line_cross(with_rsi(with_direction(with_moves(state))))
     rows = rows.withColumns(
         {
             "ep14_h": F.when(seeded, F.col("ep15_h")).otherwise(F.col("ep14_h")),

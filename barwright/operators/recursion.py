@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 
-from ..schemas import AF_MAX_STEPS, AF_STEP, LONG, LONGEST, LOOKBACK_BARS, SHORT
+from ..schemas import AF_MAX_STEPS, AF_STEP, LONG, LOOKBACK_BARS, SHORT
 
 NAN = math.nan
 
@@ -20,16 +20,27 @@ STATE = SMOOTHED + ("adx", "af_steps", "rising", "ep", "psar")
 # Values a run yields per bar: the state, the previous averaged moves, whether the bar was seeded.
 RESULTS = STATE + ("pdm14_p", "pdm14_n", "seeded")
 # Columns a run needs per bar.
-INPUTS = ("high", "low", "tr", "c_diff_p", "c_diff_n", "dm_p", "dm_n", "ep15_h", "ep15_l")
-
-_PERIODS = (SHORT, LONG, SHORT, LONG, LONG, LONG, LONG, LONGEST)
+INPUTS = ("high", "low", "close", "ph", "pl", "pc", "ep15_h", "ep15_l")
 
 
 def is_valid(state: tuple) -> bool:
     """Whether the next bar may step from this one: both RSI, ADX and the stop are defined."""
-    ag7, ag14, al7, al14 = state[:4]
-    short, long = ag7 + al7, ag14 + al14
-    return short == short and short != 0 and long == long and long != 0 and state[8] == state[8] and state[12] == state[12]
+    short, long = state[0] + state[2], state[1] + state[3]
+    adx, stop = state[8], state[12]
+    return short == short and short != 0 and long == long and long != 0 and adx == adx and stop == stop
+
+
+def with_moves(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The columns a step takes in, from a bar's prices and those of the bar before it."""
+    change = cols["close"] - cols["pc"]
+    rise, drop = cols["high"] - cols["ph"], cols["pl"] - cols["low"]
+    return cols | {
+        "tr": cols["high"] - cols["low"],
+        "c_diff_p": np.where(change >= 0, change, 0.0),
+        "c_diff_n": np.where(change < 0, -change, 0.0),
+        "dm_p": np.where(rise >= drop, rise, 0.0),
+        "dm_n": np.where(drop > rise, drop, 0.0),
+    }
 
 
 def _known_mean(values: np.ndarray) -> np.ndarray:
@@ -119,36 +130,55 @@ def step_stop(steps: float, rising: float, ep: float, stop: float, high: float,
 
     The factor grows on every bar without a turn. The stop turns when its next value touches the bar.
     """
-    known = high == high and low == low and ep == ep
+    if not (high == high and low == low and ep == ep):
+        return _step_unknown_stop(steps, rising, ep, stop, high, low)
+    if steps < AF_MAX_STEPS:
+        steps += 1.0
     if rising:
-        ep = max(ep, high) if high == high and ep == ep else NAN
+        if high > ep:
+            ep = high
+        candidate = stop + steps / 50.0 * (ep - stop)
+        if candidate >= low:
+            # the new extreme is the low: it cannot lie above the old one
+            start = max(ep, high + 0.1 * tr)
+            ep = min(ep, low)
+            return 1.0, 0.0, ep, start + AF_STEP * (ep - start)
+    else:
+        if low < ep:
+            ep = low
+        candidate = stop + steps / 50.0 * (ep - stop)
+        if candidate <= high:
+            start = min(ep, low - 0.1 * tr)
+            ep = max(ep, high)
+            return 1.0, 1.0, ep, start + AF_STEP * (ep - start)
+    return steps, rising, ep, candidate
+
+
+def _step_unknown_stop(steps: float, rising: float, ep: float, stop: float, high: float, low: float) -> tuple:
+    """The same step where the extreme or a price is unknown: what depends on it becomes unknown."""
+    price = high if rising else low
+    if ep != ep or price != price:
+        ep = NAN
     else:
-        ep = min(ep, low) if low == low and ep == ep else NAN
+        ep = max(ep, price) if rising else min(ep, price)
     steps = min(steps + 1.0, AF_MAX_STEPS)
-    factor = steps / 50.0
-    candidate = stop + factor * (ep - stop)
-    if rising and candidate >= low:
-        if not known:
-            return 1.0, 0.0, NAN, NAN
-        new_ep, new_stop = min(ep, low), max(ep, high + 0.1 * tr)
-        return 1.0, 0.0, new_ep, new_stop + AF_STEP * (new_ep - new_stop)
-    if not rising and candidate <= high:
-        if not known:
-            return 1.0, 1.0, NAN, NAN
-        new_ep, new_stop = max(ep, high), min(ep, low - 0.1 * tr)
-        return 1.0, 1.0, new_ep, new_stop + AF_STEP * (new_ep - new_stop)
+    candidate = stop + steps / 50.0 * (ep - stop)
+    if (candidate >= low) if rising else (candidate <= high):
+        return 1.0, 1.0 - rising, NAN, NAN
     return steps, rising, ep, candidate
 
 
 def step(state: tuple, gain: float, loss: float, up: float, down: float, tr: float, high: float, low: float) -> tuple:
     """State of a bar that directly follows a valid one: each average keeps (n-1)/n of its old value."""
-    moves = (gain, gain, loss, loss, up, down, tr, tr)
-    smoothed = tuple((old * (n - 1) + new) / n for old, new, n in zip(state, moves, _PERIODS))
-    plus, minus = smoothed[4], smoothed[5]
+    ag7, ag14, al7, al14, plus, minus, atr14, atr28, adx, steps, rising, ep, stop = state
+    plus, minus = (plus * 13 + up) / 14, (minus * 13 + down) / 14
     total = plus + minus
     dx = 100.0 * abs((plus - minus) / total) if total != 0 else NAN
-    adx = (dx + state[8] * (LONG - 1)) / LONG
-    return smoothed + (adx,) + step_stop(*state[9:], high, low, tr)
+    return (
+        (ag7 * 6 + gain) / 7, (ag14 * 13 + gain) / 14, (al7 * 6 + loss) / 7, (al14 * 13 + loss) / 14,
+        plus, minus, (atr14 * 13 + tr) / 14, (atr28 * 27 + tr) / 28, (dx + adx * 13) / 14,
+        *step_stop(steps, rising, ep, stop, high, low, tr),
+    )
 
 
 def apart(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -172,28 +202,28 @@ def run_series(
     whatever the slot before holds and stays without state if that is missing. ``given`` states the true state of
     bars (by position) the run continues from.
     """
-    n = len(slots)
+    cols = with_moves(cols)
     given = given or {}
-    blank = [NAN] * len(RESULTS)
-    out = [blank] * n
-    times = slots.tolist()
-    lists = [cols[name].tolist() for name in ("c_diff_p", "c_diff_n", "dm_p", "dm_n", "tr", "high", "low")]
+    blank = (NAN,) * len(RESULTS)
+    out = []
     seeds = Seeds(slots, cols) if reseed else None
     state, usable, expected = None, False, None
-    for i, time in enumerate(times):
-        if i in given:
+    moves = zip(*(cols[name].tolist() for name in ("c_diff_p", "c_diff_n", "dm_p", "dm_n", "tr", "high", "low")))
+    for i, (time, bar) in enumerate(zip(slots.tolist(), moves)):
+        if usable and time == expected and i not in given:
+            before = state
+            state = step(before, *bar)
+            out.append((*state, before[4], before[5], 0.0))
+        elif i in given:
             state = given[i]
-            out[i] = (*state, NAN, NAN, NAN)
-        elif usable and time == expected:
-            before = state[4], state[5]
-            state = step(state, *(values[i] for values in lists))
-            out[i] = (*state, *before, 0.0)
+            out.append((*state, NAN, NAN, NAN))
         elif reseed:
             seeded = seeds.at(i)
             state = tuple(seeded[: len(STATE)])
-            out[i] = (*seeded, 1.0)
+            out.append((*seeded, 1.0))
         else:
             state = None
+            out.append(blank)
         expected = time + 1
         usable = state is not None and (not reseed or is_valid(state))
-    return np.array(out, dtype=float).reshape(n, len(RESULTS))
+    return np.array(out, dtype=float).reshape(len(out), len(RESULTS))

@@ -14,7 +14,7 @@ from ..operators.forecast import forecast_next
 from ..operators.indicators import with_slot
 from ..operators.recursion import STATE
 from ..operators.watermarks import stored_marks
-from ..schemas import BAR_COLUMNS, BAR_SECONDS, LOOKBACK_BARS, PIPELINE_INTERVALS
+from ..schemas import BAR_SECONDS, LOOKBACK_BARS, PIPELINE_INTERVALS, VALUE_COLUMNS
 from ..sources.tables import KeyedTable, shifted_predictions
 
 SERIES = ["bar_interval", "symbol"]
@@ -63,7 +63,7 @@ def continue_signals(
     if starts is not None:
         for label, start in starts.items():
             newer = newer & ((F.col("bar_interval") != label) | (F.col("bar_start") >= start))
-    columns = [*BAR_COLUMNS, "bar_seconds", "slot", "fresh", "carry"]
+    columns = ["bar_interval", "symbol", "bar_start", "open_time", *VALUE_COLUMNS, "slot", "fresh", "carry"]
     known = F.col("slot") == F.col("stored_slot")
     rows = with_slot(bars).join(newest, SERIES, "left").withColumns(
         {"fresh": newer, "carry": F.when(known, carry_of("stored_"))}
@@ -74,13 +74,7 @@ def continue_signals(
         context = (
             stored.join(first_new, SERIES)
             .filter(F.col("slot") > F.col("first_new") - LOOKBACK_BARS)
-            .withColumns(
-                {
-                    "close_time": F.col("bar_start") + F.col("bar_seconds"),
-                    "fresh": F.lit(False),
-                    "carry": F.when(known, carry_of()),
-                }
-            )
+            .withColumns({"fresh": F.lit(False), "carry": F.when(known, carry_of())})
         )
         rows = rows.select(*columns).unionByName(context.select(*columns))
     return finish_signals(fold_blocks(rows.select(*columns), reseed, True, block, warmup), update_time)

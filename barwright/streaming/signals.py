@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE_SCHEMA = (
     "slots array<bigint>, highs array<double>, lows array<double>, closes array<double>, carry array<double>"
 )
-_LONGS = ("bar_start", "close_time", "open_time", "num_trades", "bar_seconds", "slot")
+_LONGS = ("bar_start", "open_time", "num_trades", "slot")
 OUTPUT_SCHEMA = ", ".join(
     f"`{name}` " + ("string" if name in ("bar_interval", "symbol") else "long" if name in _LONGS else "double")
     for name in (*PASSED, *RESULTS)
@@ -34,15 +34,10 @@ OUTPUT_SCHEMA = ", ".join(
 
 
 def bounded_columns(slots: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> dict[str, np.ndarray]:
-    """The non-recursive columns of a short run of bars: previous bar, moves, trailing extremes."""
+    """The non-recursive columns of a short run of bars: previous bar and trailing extremes."""
     at = np.arange(len(slots))
     before = np.where((at > 0) & (slots[at - 1] > slots - LOOKBACK_BARS), at - 1, at)
-    cols = {"high": high, "low": low, "ph": high[before], "pl": low[before], "pc": close[before], "tr": high - low}
-    change, rise, drop = close - cols["pc"], high - cols["ph"], cols["pl"] - low
-    cols["c_diff_p"] = np.where(change >= 0, change, 0.0)
-    cols["c_diff_n"] = np.where(change < 0, -change, 0.0)
-    cols["dm_p"] = np.where(rise >= drop, rise, 0.0)
-    cols["dm_n"] = np.where(drop > rise, drop, 0.0)
+    cols = {"high": high, "low": low, "close": close, "ph": high[before], "pl": low[before], "pc": close[before]}
     oldest = np.searchsorted(slots, slots - (LOOKBACK_BARS - 1))
     for name, rows in (("ep14", LONG), ("ep15", LONG + 1), ("ep28", LOOKBACK_BARS)):
         starts = np.maximum(oldest, at - rows + 1)
@@ -85,8 +80,7 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
 def stream_signals(bars: DataFrame) -> DataFrame:
     """Streaming signal rows from a stream of closed bars."""
     lengths = F.create_map(*[F.lit(part) for item in BAR_SECONDS.items() for part in item])
-    timed = bars.select(*BAR_COLUMNS).withColumn("bar_seconds", lengths[F.col("bar_interval")].cast("long"))
-    rows = timed.withColumn("slot", int_div(F.col("bar_start"), F.col("bar_seconds")))
+    rows = bars.select(*BAR_COLUMNS).withColumn("slot", int_div(F.col("bar_start"), lengths[F.col("bar_interval")]))
     stepped = rows.groupBy("bar_interval", "symbol").applyInPandasWithState(
         advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
