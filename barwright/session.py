@@ -45,9 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = os.path.join(tempfile.gettempdir(), "barwright-scratch")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), "barwright-scratch")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
