@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import lines, minhash
+from barwright.llm import ann, bpe, chunks, licenses, lines, minhash, packing, quality, secrets, vectors
 from barwright.llm.common import table
 from barwright.llm.oracles import ORACLES  # noqa: F401
 
@@ -21,4 +22,55 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op7_line_dedup)}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each passage of a document that another document repeats; no row for other documents."""
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.joined_labels(licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.made_findings(spark))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", "finding", "start", F.length("found").alias("length"), F.sha2("found", 256).alias("found_sha256"), "score", "is_secret"
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_multiprobe_ann, op2_minhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_best_fit_packing, op6_quality_classifier,
+        op7_line_dedup, op8_secret_scan, op9_bpe_encode_decode, op10_embedding_near_dedup,
+    )
+}
