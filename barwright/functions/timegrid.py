@@ -20,10 +20,6 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def bar_index(seconds: Column, length: Column) -> Column:
-    return int_div(seconds, length)
-
-
 def bar_close(seconds: Column, length: Column) -> Column:
     """End of the bar that holds ``seconds``."""
     return (int_div(seconds, length) + 1) * length
@@ -39,7 +35,3 @@ def step_times(end: int, minutes: int = 5, hours: int = 0) -> StepTimes:
     """Bar starts a step that ends at ``end`` works on: the bar itself, the one before, the oldest in reach."""
     length = minutes * 60 + hours * 3600
     return StepTimes(end - length, end - 2 * length, end - LOOKBACK_BARS * length)
-
-
-def floor_to(seconds: int, length: int) -> int:
-    return seconds // length * length

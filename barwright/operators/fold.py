@@ -57,8 +57,8 @@ def carry_of(prefix: str = "") -> Column:
 
 def window_inputs(bars: DataFrame, block: int, warmup: int) -> DataFrame:
     """Per-block rows with every column that does not depend on the recursion; one exchange, one sort."""
-    rows = split_blocks(bars, block, warmup)
-    return with_extremes(with_previous(rows, BLOCK_KEY), BLOCK_KEY)
+    rows = with_previous(split_blocks(bars, block, warmup), BLOCK_KEY)
+    return with_extremes(rows.drop("stored_high", "stored_low", "stored_close"), BLOCK_KEY)
 
 
 def _result_schema(rows: DataFrame) -> T.StructType:

@@ -27,12 +27,20 @@ def _ordered(keys: Sequence[str]) -> WindowSpec:
 
 
 def with_previous(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """``ph``, ``pl``, ``pc``: the previous bar within reach, or the bar itself if there is none."""
+    """``ph``, ``pl``, ``pc``: the previous bar within reach, or the bar itself if there is none.
+
+    Where a bar comes with the prices it was stored with (``stored_high`` and so on, else NULL), its successor sees those.
+    """
     order = _ordered(keys)
     in_reach = F.lag("slot").over(order) > F.col("slot") - LOOKBACK_BARS
+
+    def seen(source: str) -> Column:
+        stored = f"stored_{source}"
+        return F.coalesce(stored, source) if stored in bars.columns else F.col(source)
+
     return bars.withColumns(
         {
-            name: F.when(in_reach, F.lag(source).over(order)).otherwise(F.col(source))
+            name: F.when(in_reach, F.lag(seen(source)).over(order)).otherwise(F.col(source))
             for name, source in (("ph", "high"), ("pl", "low"), ("pc", "close"))
         }
     )

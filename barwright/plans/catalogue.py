@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import parse_matrix, parse_vector
 from ..operators import bars as bar_ops
@@ -21,10 +22,11 @@ from ..operators.fold import compute_signals
 from ..operators.forecast import fit_symbols, forecast_next
 from ..operators.seeds import seed_all, seed_latest
 from ..operators.watermarks import low_watermarks
-from ..schemas import INDICATOR_COLUMNS
+from ..schemas import INDICATOR_COLUMNS, VALUE_COLUMNS
+from ..session import scratch_path
 from ..sources import candles, market, tables
 from ..streaming.jobs import run_stream_bars, run_stream_signals
-from .pipeline import closed_bars, continue_signals
+from .pipeline import catch_up_signals, closed_bars, continue_signals, ingest_then_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,11 +69,25 @@ def insert_ignore_merge(spark, sf_dir):
     first, second = rows.withColumn("arrival", F.lit(1)), rows.withColumns(
         {"arrival": F.lit(2), "price": F.col("price") + 1}
     )
-    batch = candles.gather([first, second])
-    merged = tables.merge_ignore(
-        present.withColumn("arrival", F.lit(0)), batch, ["symbol", "open_time"], ["arrival"]
-    )
-    return merged.select("symbol", "open_time", "price")
+    schema = T.StructType([present.schema["symbol"], T.StructField("open_time", T.LongType()), T.StructField("price", T.LongType())])
+    table = tables.KeyedTable(spark, scratch_path(spark, "prices"), schema, ["symbol", "open_time"], "open_time").provision()
+    table.insert_ignore(present)
+    table.insert_ignore(candles.gather([first, second]), ["arrival"])
+    return table.rows()
+
+
+def ingest_rejects(spark, sf_dir):
+    """What became of the landed records: candles, or the reason of the reject."""
+    landed = market.landed_candles(market.ticks(market.table(spark, sf_dir, "events")))
+    number = F.col("num_trades").cast("long")
+    landed = landed.withColumns({
+        "time": F.when(F.col("close").cast("long") % 23 == 0, "soon").otherwise(F.col("time")),
+        "symbol": F.when(F.col("close").cast("long") % 29 != 0, F.col("symbol")),
+        "num_trades": number.cast("string"),
+    })
+    kept = candles.normalize_landed(landed).select(F.lit("candle").alias("outcome"), "num_trades")
+    lost = candles.rejected(landed).select(F.col("reason").alias("outcome"), F.col("num_trades").cast("long").alias("num_trades"))
+    return kept.unionByName(lost).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"), F.sum("num_trades").alias("num_trades"))
 
 
 def ingest_start_mark(spark, sf_dir):
@@ -243,6 +259,34 @@ def low_watermark_row(spark, sf_dir):
     return low_watermarks(base, signals, 4102444800, FAN_OUT, market.BASE_SECONDS)
 
 
+def _first_time(base: DataFrame) -> int:
+    return base.agg(F.min("open_time")).first()[0]
+
+
+def signals_catch_up(spark, sf_dir):
+    """Stored in three runs. One symbol's candles arrive only for the last, another has a gap of 30 hours."""
+    base = market.base_candles(spark, sf_dir)
+    first = _first_time(base)
+    gap = F.col("open_time").between(first + 10 * 86400, first + 10 * 86400 + 30 * 3600)
+    base = base.filter(~((F.col("symbol") == "PURCHASEUSDT") & gap))
+    table = tables.signal_table(spark, scratch_path(spark, "signals")).provision()
+    for days, symbols in ((8, "symbol <> 'CLICKUSDT'"), (17, "symbol <> 'CLICKUSDT'"), (40000, "true")):
+        catch_up_signals(base.filter(symbols), table, first + days * 86400, FAN_OUT, base_length=market.BASE_SECONDS)
+    return _signal_output(table.rows())
+
+
+def ingest_then_signals_twice(spark, sf_dir):
+    """Landed files to candles to signals, the whole chain run twice."""
+    base = market.base_candles(spark, sf_dir)
+    text = [F.col(name).cast("string").alias(name) for name in VALUE_COLUMNS]
+    landed = base.select(F.lower("symbol").alias("symbol"), ((F.col("open_time") + 60) * 1000).cast("string").alias("time"), *text)
+    stored = tables.candle_table(spark, scratch_path(spark, "candles")).provision()
+    signals = tables.signal_table(spark, scratch_path(spark, "signals")).provision()
+    for _ in range(2):
+        ingest_then_signals(landed, stored, signals, 4102444800, SERVED, market.BASE_SECONDS)
+    return _signal_output(signals.rows())
+
+
 def signals_restart(spark, sf_dir):
     """Signals of the last days, continued from rows stored before: equal to the one-shot result."""
     bars = _bars(spark, sf_dir, ALL)
@@ -344,16 +388,25 @@ def predictions_latest(spark, sf_dir):
 # --- streams ------------------------------------------------------------------------------------------------
 
 
+# one file, read in one batch: no row is behind another batch
+NO_DELAY = "0 seconds"
+
+
 def stream_bars(spark, sf_dir):
-    return run_stream_bars(spark, sf_dir)
+    return run_stream_bars(spark, sf_dir, ["4h"], NO_DELAY)
+
+
+def stream_bars_fan_out(spark, sf_dir):
+    return run_stream_bars(spark, sf_dir, FAN_OUT, NO_DELAY)
 
 
 def stream_signals(spark, sf_dir):
-    return _signal_output(run_stream_signals(spark, sf_dir))
+    return _signal_output(run_stream_signals(spark, sf_dir, ["4h"], NO_DELAY))
 
 
 CATALOGUE: dict[str, Query] = {
     "ingest_normalize": ingest_normalize,
+    "ingest_rejects": ingest_rejects,
     "insert_ignore_merge": insert_ignore_merge,
     "ingest_start_mark": ingest_start_mark,
     "sync_shifted": sync_shifted,
@@ -388,6 +441,8 @@ CATALOGUE: dict[str, Query] = {
     "symbols_to_step": symbols_to_step,
     "low_watermarks": low_watermark_row,
     "signals_restart": signals_restart,
+    "signals_catch_up": signals_catch_up,
+    "ingest_then_signals": ingest_then_signals_twice,
     "forecast_next": forecast_fit,
     "forecast_many_symbols": forecast_many_symbols,
     "forecast_lookback": forecast_lookback,
@@ -403,5 +458,6 @@ CATALOGUE: dict[str, Query] = {
     "pattern_detail": pattern_detail,
     "predictions_latest": predictions_latest,
     "stream_bars": stream_bars,
+    "stream_bars_fan_out": stream_bars_fan_out,
     "stream_signals": stream_signals,
 }

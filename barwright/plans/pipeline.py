@@ -1,4 +1,4 @@
-"""Whole jobs: catch-up of the signal table, forecasts, and the copy between prediction stores."""
+"""Whole jobs: ingest, catch-up of the signal table, forecasts, and the copy between prediction stores."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import interval_seconds, only_symbols, resample
 from ..operators.blocks import BLOCK_SLOTS, WARMUP_SLOTS
-from ..operators.fold import carry_of, compute_signals, finish_signals, fold_blocks
+from ..operators.fold import carry_of, compute_signals, finish_signals, fold_blocks, no_carry
 from ..operators.forecast import forecast_next
 from ..operators.indicators import with_slot
 from ..operators.recursion import STATE
-from ..operators.watermarks import stored_marks
-from ..schemas import BAR_SECONDS, LOOKBACK_BARS, PIPELINE_INTERVALS, VALUE_COLUMNS
+from ..operators.steps import is_ready
+from ..schemas import BAR_SECONDS, FORECAST_LOOKBACK, LOOKBACK_BARS, PIPELINE_INTERVALS, VALUE_COLUMNS
+from ..session import materialize, scratch
+from ..sources.candles import ingest_window, normalize_landed
 from ..sources.tables import KeyedTable, shifted_predictions
 
 SERIES = ["bar_interval", "symbol"]
@@ -41,40 +43,54 @@ def with_state(stored: DataFrame) -> DataFrame:
     )
 
 
+PRICES = ("high", "low", "close")
+
+
+def newest_rows(stored: DataFrame) -> DataFrame:
+    """The state of each series: where its newest stored row is, that row's prices and recursive values."""
+    rows = with_state(with_slot(with_length(stored)))
+    names = [*STATE, *PRICES, "rsi7", "rsi14"]
+    return rows.groupBy(*SERIES).agg(
+        F.max("slot").alias("stored_slot"), *[F.max_by(name, "slot").alias(f"stored_{name}") for name in names]
+    )
+
+
 def continue_signals(
     bars: DataFrame,
     stored: DataFrame,
     update_time: Column | int = 0,
     reseed: bool = True,
-    starts: Mapping[str, int] | None = None,
+    recomputed: bool = False,
     block: int = BLOCK_SLOTS,
     warmup: int = WARMUP_SLOTS,
 ) -> DataFrame:
-    """Signals of the bars that are newer than the stored rows of their series, continuing from those rows.
+    """Signals of the bars that are newer than the newest stored row of their series; all bars of a series without one.
 
-    Only the newest stored row is state. The 28 slots before the new bars serve as context: they come from the stored
-    rows, or, where ``starts`` names the first new bar per interval, from ``bars``, which then reach back far enough.
+    A bar steps from the stored row in the slot before it: from that row's state and from its high, low and close, also
+    where late candles have changed the bar since. Trailing extremes and seeds need the 28 slots before the new bars:
+    they come from the stored rows or, if ``recomputed``, from ``bars``, which then reach back so far.
     """
-    stored = with_state(with_slot(with_length(stored)))
-    newest = stored.groupBy(*SERIES).agg(
-        F.max("slot").alias("stored_slot"), *[F.max_by(name, "slot").alias(f"stored_{name}") for name in STATE]
-    )
+    newest = newest_rows(stored)
     newer = F.coalesce(F.col("slot") > F.col("stored_slot"), F.lit(True))
-    if starts is not None:
-        for label, start in starts.items():
-            newer = newer & ((F.col("bar_interval") != label) | (F.col("bar_start") >= start))
-    columns = ["bar_interval", "symbol", "bar_start", "open_time", *VALUE_COLUMNS, "slot", "fresh", "carry"]
     known = F.col("slot") == F.col("stored_slot")
-    rows = with_slot(bars).join(newest, SERIES, "left").withColumns(
-        {"fresh": newer, "carry": F.when(known, carry_of("stored_"))}
-    )
-    if starts is None:
-        rows = rows.filter("fresh")
+    prices = [f"stored_{name}" for name in PRICES]
+    columns = ["bar_interval", "symbol", "bar_start", "open_time", *VALUE_COLUMNS, "slot", "fresh", "carry", *prices]
+    rows = with_slot(bars).join(newest, SERIES, "left")
+    if recomputed:
+        # a bar behind an incomplete row is seeded, and a seed sees recomputed bars only
+        steps = known & is_ready("stored_")
+        rows = rows.filter(newer | (F.col("slot") > F.col("stored_slot") - LOOKBACK_BARS)).withColumns(
+            {"fresh": newer, "carry": F.when(known, carry_of("stored_")), **{name: F.when(steps, F.col(name)) for name in prices}}
+        )
+    else:
+        unknown = {name: F.lit(None).cast("double") for name in prices}
+        rows = rows.filter(newer).withColumns({"fresh": F.lit(True), "carry": no_carry(), **unknown})
         first_new = rows.groupBy(*SERIES).agg(F.min("slot").alias("first_new"), F.max("stored_slot").alias("stored_slot"))
         context = (
-            stored.join(first_new, SERIES)
+            with_state(with_slot(with_length(stored)))
+            .join(first_new, SERIES)
             .filter(F.col("slot") > F.col("first_new") - LOOKBACK_BARS)
-            .withColumns({"fresh": F.lit(False), "carry": F.when(known, carry_of())})
+            .withColumns({"fresh": F.lit(False), "carry": F.when(known, carry_of()), **unknown})
         )
         rows = rows.select(*columns).unionByName(context.select(*columns))
     return finish_signals(fold_blocks(rows.select(*columns), reseed, True, block, warmup), update_time)
@@ -89,24 +105,48 @@ def catch_up_signals(
     base_length: int = 300,
     reseed: bool = True,
 ) -> None:
-    """Bring the signal table up to ``end``: one job for all bars, symbols and intervals after the low watermarks.
+    """Bring the signal table up to ``end``: one job for all bars, symbols and intervals.
 
-    Base rows are read from 28 slots before the oldest watermark on. If an interval has no stored row at all, the whole
-    base series is computed.
+    Each series continues at its own newest stored row. Of a symbol whose series are all stored, base rows are used from
+    28 slots before the oldest of these rows on; a series without a stored row starts at its first base bar, whatever
+    the other series have.
     """
     end = end // base_length * base_length
     lengths = interval_seconds(intervals)
-    stored = only_symbols(table.rows().filter(F.col("bar_interval").isin(list(lengths))), symbols)
-    source = only_symbols(base, symbols).filter(F.col("open_time") < end)
-    marks = stored_marks(source, stored, end, lengths, base_length).first()
-    starts = None
-    if None not in tuple(marks):
-        starts = {label: marks[f"time_{label}"] - length for label, length in lengths.items()}
-        oldest = min(starts[label] - LOOKBACK_BARS * length for label, length in lengths.items())
-        source = source.filter(F.col("open_time") >= oldest)
-        stored = only_symbols(table.since(oldest).filter(F.col("bar_interval").isin(list(lengths))), symbols)
-    bars = closed_bars(resample(source, lengths), end)
-    table.insert_ignore(continue_signals(bars, stored, end, reseed, starts), unique=True)
+    with scratch(table.spark):
+        stored = only_symbols(table.rows().filter(F.col("bar_interval").isin(list(lengths))), symbols)
+        newest = stored.groupBy(*SERIES).agg(F.max_by(F.struct(*stored.columns), "bar_start").alias("row")).select("row.*")
+        newest = materialize(newest, "newest")
+        reach = with_length(newest).groupBy("symbol").agg(
+            F.min(F.col("bar_start") - LOOKBACK_BARS * F.col("bar_seconds")).alias("needed_from"), F.count(F.lit(1)).alias("series")
+        )
+        source = only_symbols(base, symbols).filter(F.col("open_time") < end)
+        source = source.join(reach.filter(F.col("series") == len(lengths)), "symbol", "left").filter(
+            F.col("needed_from").isNull() | (F.col("open_time") >= F.col("needed_from"))
+        )
+        bars = closed_bars(resample(source.select(*base.columns), lengths), end)
+        table.insert_ignore(continue_signals(bars, newest, end, reseed, recomputed=True))
+
+
+def ingest_candles(landed: DataFrame, table: KeyedTable, as_of: int | Column | None = None) -> None:
+    """Append landed candles that are new, from the start mark of the table on; without one, all of them."""
+    start = ingest_window(table.rows(), as_of).first()["start_time"]
+    rows = normalize_landed(landed)
+    table.insert_ignore(rows if start is None else rows.filter(F.col("open_time") >= start))
+
+
+def ingest_then_signals(
+    landed: DataFrame,
+    candles: KeyedTable,
+    signals: KeyedTable,
+    end: int,
+    intervals: Iterable[str] | Mapping[str, int] = PIPELINE_INTERVALS,
+    base_length: int = 300,
+    as_of: int | Column | None = None,
+) -> None:
+    """The hourly chain: landed files to candles, candles to signals. Running it again adds nothing."""
+    ingest_candles(landed, candles, as_of)
+    catch_up_signals(candles.rows(), signals, end, intervals, base_length=base_length)
 
 
 def rebuild_signals(base: DataFrame, intervals: Iterable[str] | Mapping[str, int], end: int | None = None) -> DataFrame:
@@ -114,9 +154,10 @@ def rebuild_signals(base: DataFrame, intervals: Iterable[str] | Mapping[str, int
     return compute_signals(closed_bars(resample(base, intervals), end), 0 if end is None else end)
 
 
-def store_forecasts(prices: DataFrame, table: KeyedTable, as_of=None, seconds: int | None = None) -> None:
-    """Forecast every symbol of a price table and keep predictions that are new."""
-    table.insert_ignore(forecast_next(prices, as_of, seconds))
+def store_forecasts(prices: DataFrame, table: KeyedTable, as_of=None, seconds: int | None = FORECAST_LOOKBACK) -> None:
+    """Forecast every symbol from the last 90 days of a price table and keep predictions that are new."""
+    with scratch(table.spark):
+        table.insert_ignore(forecast_next(prices, as_of, seconds))
 
 
 def sync_predictions(source: DataFrame, table: KeyedTable, as_of=None) -> None:

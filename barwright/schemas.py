@@ -92,6 +92,8 @@ SIGNALS = T.StructType(
 # Bars are keyed by grid time: the first candle of a bar may come late, its slot does not move.
 SIGNAL_KEY = ("bar_interval", "symbol", "bar_start")
 
+CANDLE_KEY = ("symbol", "open_time")
+
 PREDICTIONS = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("open_time", T.LongType())]
     + _fields(T.DoubleType(), ("next_pred", "last_price", "lower", "upper", "mse", "mae"))

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Bytes of shuffled rows that one task should get at most before adaptive execution joins small partitions.
+TASK_BYTES = 64 << 20
 
-def build_session(app_name: str = "barwright", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the engine expects. Values in ``conf`` win."""
+_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+_left: dict[str, tuple] = {}
+
+
+def build_session(app_name: str = "barwright", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the engine expects. Values in ``conf`` win.
+
+    ``input_bytes`` is the size of the largest table that jobs will shuffle; the number of shuffle partitions follows
+    from it, on one machine as on a cluster. Adaptive execution joins partitions that turn out small; it never splits
+    those of a window, so a large input needs this number (or ``spark.sql.shuffle.partitions``).
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
@@ -20,10 +34,8 @@ def build_session(app_name: str = "barwright", master: str | None = None, **conf
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
-    if not (master or "").startswith("local"):
-        # many small initial partitions, joined at run time to what a task can hold without spilling
-        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8192")
-        settings.setdefault("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+    if input_bytes is not None:
+        settings.setdefault("spark.sql.shuffle.partitions", str(max(1, math.ceil(input_bytes / TASK_BYTES))))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -33,23 +45,49 @@ def build_session(app_name: str = "barwright", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without the setting (a laptop, a test) falls back to a temporary folder; on a
-    cluster the setting is required.
-    """
+    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``, else the session's warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "barwright-scratch")
+    return configured or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _remove(jvm, conf, path: str) -> None:
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+@atexit.register
+def _remove_left() -> None:
+    """Results that were returned lazily read their scratch tables until the program ends."""
+    for path, (jvm, conf) in _left.items():
+        with suppress(Exception):
+            _remove(jvm, conf, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: for jobs that have written their result by then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/barwright/{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        remove(spark, folder)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/barwright/{label}-{uuid.uuid4().hex}"
+    folder = _folder.get()
+    path = f"{folder or shared_dir(spark).rstrip('/') + '/barwright'}/{label}-{uuid.uuid4().hex}"
+    if folder is None:
+        _left[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

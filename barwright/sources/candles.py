@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import to_number
 from ..functions.timegrid import int_div
 from ..schemas import CANDLES, INGEST_LAG, INGEST_LOOKBACK, LANDED_CANDLES, VALUE_COLUMNS
 
 
+MALFORMED = "malformed"
+
+
 def latest_time(df: DataFrame, column: str = "open_time") -> Column:
     """Newest time of a table as a scalar subquery: the clock of queries that are given none."""
     return df.agg(F.max(column).alias("latest")).scalar()
@@ -22,14 +26,44 @@ def clock(df: DataFrame, as_of: int | Column | None, column: str = "open_time")
 
 
 def read_landed(spark: SparkSession, path: str | list[str], file_format: str = "json") -> DataFrame:
-    """Vendor files as they landed, one or more per symbol. A corrupt file is skipped, the others still load."""
-    return (
+    """Vendor files as they landed, one or more per symbol, with each row's file and, where it is malformed, its text.
+
+    A file that cannot be read does not stop the others; ``unread_files`` lists it.
+    """
+    schema = T.StructType([*LANDED_CANDLES.fields, T.StructField(MALFORMED, T.StringType())])
+    rows = (
         spark.read.format(file_format)
-        .schema(LANDED_CANDLES)
+        .schema(schema if file_format in ("json", "csv") else LANDED_CANDLES)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .option("ignoreCorruptFiles", "true")
         .load(path)
     )
+    if file_format not in ("json", "csv"):
+        rows = rows.withColumn(MALFORMED, F.lit(None).cast("string"))
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
+def unread_files(spark: SparkSession, path: str | list[str], landed: DataFrame) -> DataFrame:
+    """``file, reason`` of the landed files that no record came from: damaged, half written, or empty."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    # the two readers write the scheme of a local path differently
+    plain = lambda name: F.regexp_replace(name, "^file:/+", "/")
+    read = landed.select(plain("file").alias("file")).distinct()
+    return files.select(plain("file").alias("file")).join(read, "file", "left_anti").select(
+        "file", F.lit("no record could be read").alias("reason")
+    )
+
+
+def reject_reason(landed: DataFrame) -> Column:
+    """Why a landed record cannot become a candle; NULL if it can."""
+    reason = F.when(F.col(MALFORMED).isNotNull(), "malformed record") if MALFORMED in landed.columns else F.when(F.lit(False), "")
+    return reason.when(F.col("symbol").isNull(), "no symbol").when(F.col("time").try_cast("long").isNull(), "no usable time")
+
+
+def rejected(landed: DataFrame) -> DataFrame:
+    """Landed records that cannot become candles, as they are, with the reason."""
+    return landed.withColumn("reason", reject_reason(landed)).filter(F.col("reason").isNotNull())
 
 
 def read_candles(spark: SparkSession, source: str | None = None, file_format: str = "parquet", **options: str) -> DataFrame:
@@ -44,17 +78,15 @@ def normalize_landed(landed: DataFrame) -> DataFrame:
     """Candles from landed text records.
 
     Values are coerced first (what is no number counts as 0), then the symbol is attached in upper case. A record's
-    millisecond time marks the end of its minute. A record without a usable time cannot be placed and is left out.
+    millisecond time marks the end of its minute. Records that ``rejected`` names are not among them.
     """
     time = F.col("time").try_cast("long")
-    typed = landed.select(
+    typed = landed.filter(reject_reason(landed).isNull()).select(
         F.upper("symbol").alias("symbol"),
         (int_div(time, F.lit(1000)) - 60).alias("open_time"),
         *[to_number(F.col(name)).alias(name) for name in VALUE_COLUMNS],
     )
-    return typed.filter(F.col("open_time").isNotNull()).select(
-        *[F.col(f.name).cast(f.dataType) for f in CANDLES]
-    )
+    return typed.select(*[F.col(f.name).cast(f.dataType) for f in CANDLES])
 
 
 def ingest_window(base: DataFrame, as_of: int | Column | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timegrid import int_div
-from ..schemas import PREDICTION_KEY, PREDICTIONS, SIGNAL_KEY, SIGNALS, SYNC_LOOKBACK, SYNC_SHIFT
+from ..functions.timegrid import epoch_seconds, int_div
+from ..schemas import CANDLE_KEY, CANDLES, PREDICTION_KEY, PREDICTIONS, SIGNAL_KEY, SIGNALS, SYNC_LOOKBACK, SYNC_SHIFT
+from ..session import materialize, scratch
 from .candles import clock
 
 
@@ -22,7 +23,8 @@ class KeyedTable:
     """A parquet table whose rows are unique by key; an existing row is never replaced.
 
     Rows are laid out by their coarse key columns and by day, so reads prune to the intervals and days they need
-    and an insert compares itself only with the days it touches.
+    and an insert compares itself only with the days it touches. One job writes to a table at a time: appends of two
+    writers that start together do not see each other.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], time: str,
@@ -49,19 +51,23 @@ class KeyedTable:
             *self.schema.names
         )
 
-    def insert_ignore(self, batch: DataFrame, unique: bool = False) -> None:
-        """Append the rows whose key is new. ``unique`` says that the batch holds no key twice."""
+    def insert_ignore(self, batch: DataFrame, order: Sequence[str] | None = None) -> None:
+        """Append the rows whose key is new: of several with one key the first by ``order`` (else by all columns).
+
+        The batch is computed once; its bounds, the comparison and the append read what was written.
+        """
+        names = [*self.schema.names, *[name for name in order or () if name not in self.schema.names]]
         day = day_of(F.col(self.time))
-        batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).withColumn("day", day)
-        bounds = batch.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-        if bounds["first"] is None:
-            return
-        present = self.read().filter(F.col("day").between(bounds["first"], bounds["last"]))
-        if not unique:
-            batch = first_per_key(batch, self.key)
-        fresh = batch.join(present.select(*self.key), self.key, "left_anti")
-        # files by partition; adaptive execution splits large partitions and joins small ones
-        fresh.hint("rebalance", *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
+        typed = batch.select(*names).withColumns({f.name: F.col(f.name).cast(f.dataType) for f in self.schema})
+        with scratch(self.spark):
+            rows = materialize(typed.withColumn("day", day), "batch")
+            bounds = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+            if bounds["first"] is None:
+                return
+            present = self.read().filter(F.col("day").between(bounds["first"], bounds["last"]))
+            fresh = insert_ignore(present, rows, self.key, order).select(*self.stored.names)
+            # files by partition; adaptive execution splits large partitions and joins small ones
+            fresh.hint("rebalance", *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
 
 
 def first_per_key(batch: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
@@ -77,9 +83,8 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, key: Sequence[str], ord
     return first_per_key(batch, key, order).join(existing.select(*key), list(key), "left_anti")
 
 
-def merge_ignore(existing: DataFrame, batch: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """The table after an insert that keeps existing rows."""
-    return existing.unionByName(insert_ignore(existing, batch, key, order))
+def candle_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, CANDLES, CANDLE_KEY, "open_time")
 
 
 def signal_table(spark: SparkSession, path: str) -> KeyedTable:
@@ -95,7 +100,11 @@ def shifted_predictions(source: DataFrame, as_of=None) -> DataFrame:
 
     ``open_time`` of the source is a timestamp; ``as_of`` is compared on the same clock, in epoch seconds.
     """
-    seconds = source.withColumn("open_time", F.unix_timestamp("open_time"))
+    kind = source.schema["open_time"].dataType
+    wall_clock = isinstance(kind, T.TimestampNTZType)
+    seconds = source.withColumn(
+        "open_time", epoch_seconds(F.col("open_time")) if wall_clock else F.unix_seconds("open_time")
+    )
     recent = seconds.filter(
         (F.col("last_price") > 0) & (F.col("open_time") > clock(seconds, as_of) - SYNC_LOOKBACK)
     )

@@ -5,6 +5,9 @@ A row that arrives after its bar was emitted is dropped, as an insert that finds
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,17 @@ def tick_candles(trades: DataFrame) -> DataFrame:
     )
 
 
-def stream_bars(candles: DataFrame, label: str, delay: str = "0 seconds", order: Column | str = "open_time") -> DataFrame:
-    """Streaming bars of one length from a stream of candles."""
+def stream_bars_fan_out(candles: DataFrame, labels: Sequence[str], delay: str, order: Column | str = "open_time") -> DataFrame:
+    """Streaming bars of several lengths; each length keeps its own state."""
+    return reduce(DataFrame.unionByName, [stream_bars(candles, label, delay, order) for label in labels])
+
+
+def stream_bars(candles: DataFrame, label: str, delay: str, order: Column | str = "open_time") -> DataFrame:
+    """Streaming bars of one length from a stream of candles.
+
+    ``delay`` is how far a row may lie behind the newest one that was read before it. Rows of files or batches that overlap
+    in time are lost if it is shorter than the overlap, and bars come later by it; there is no value that suits all feeds.
+    """
     timed = candles.withColumn("event_time", F.timestamp_seconds("open_time")).withWatermark("event_time", delay)
     bars = timed.groupBy("symbol", F.window("event_time", f"{BAR_SECONDS[label]} seconds")).agg(
         F.min("open_time").alias("open_time"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..schemas import BAR_COLUMNS, CANDLES
 from ..session import scratch_path
 from ..sources.market import ticks
-from .bars import stream_bars, tick_candles
+from .bars import stream_bars_fan_out, tick_candles
 from .signals import stream_signals
 
 BARS = T.StructType(
@@ -45,16 +47,17 @@ def open_events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     return ticks(files.parquet(folder))
 
 
-def store_stream_bars(spark: SparkSession, folder: str, label: str = "4h", delay: str = "0 seconds") -> str:
-    return run_to_files(stream_bars(tick_candles(open_events(spark, folder)), label, delay, "at"), spark, "stream-bars")
+def store_stream_bars(spark: SparkSession, folder: str, labels: Sequence[str], delay: str) -> str:
+    trades = tick_candles(open_events(spark, folder))
+    return run_to_files(stream_bars_fan_out(trades, labels, delay, "at"), spark, "stream-bars")
 
 
-def run_stream_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(BARS).parquet(store_stream_bars(spark, folder))
+def run_stream_bars(spark: SparkSession, folder: str, labels: Sequence[str], delay: str) -> DataFrame:
+    return spark.read.schema(BARS).parquet(store_stream_bars(spark, folder, labels, delay))
 
 
-def run_stream_signals(spark: SparkSession, folder: str) -> DataFrame:
+def run_stream_signals(spark: SparkSession, folder: str, labels: Sequence[str], delay: str) -> DataFrame:
     """Bars stored by one stream feed the stateful stream of a second."""
-    bars = spark.readStream.schema(BARS).parquet(store_stream_bars(spark, folder))
+    bars = spark.readStream.schema(BARS).parquet(store_stream_bars(spark, folder, labels, delay))
     signals = stream_signals(bars)
     return spark.read.schema(signals.schema).parquet(run_to_files(signals, spark, "stream-signals"))
