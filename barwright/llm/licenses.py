@@ -180,12 +180,13 @@ class Scanner:
                 by.setdefault(rule.keyword, []).append(i)
         for keyword, numbers in by.items():
             self.gates.add_word(keyword, tuple(numbers))
-        self.gates.make_automaton()
+        if by:
+            self.gates.make_automaton()
 
     def detections(self, words: str) -> list[tuple[int, int, Rule]]:
         """Intervals that are left after suppression, best first. ``words`` begins and ends with a blank."""
         chosen = set(self.always)
-        for _, numbers in self.gates.iter(words):
+        for _, numbers in self.gates.iter(words) if len(self.gates) else ():
             chosen.update(numbers)
         found = [(m.start(), m.end(), self.rules[i]) for i in sorted(chosen) for m in self.rules[i].pattern.finditer(words)]
         found.sort(key=lambda d: (d[2].priority, d[0] - d[1], d[0]))
@@ -196,12 +197,6 @@ class Scanner:
         return kept
 
 
-#: Words without which no rule and no base phrase can match.
-ANY = re.compile(
-    rb" (?:licen|unlicen|spdx|permission|redistrib|advertis|altered|copyright|copyr|proprietary|unauthorized|commercial|non|public|rights|waived|cc |mit |apache |cc)"
-)
-
-
 def places(words: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which a phrase stands in words joined by blanks, with a blank at both ends."""
     out, at, number, before = [], words.find(phrase), 0, 0
@@ -216,8 +211,6 @@ def places(words: bytes, phrase: bytes) -> list[int]:
 def scan_text(scanner: Scanner, text: str | None) -> tuple:
     words = (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
     joined = b" " + b" ".join(words) + b" "
-    if not ANY.search(joined):
-        return len(words), 0, None, None, [], [], 0.0, []
     base = [(label, places(joined, b" " + phrase.encode() + b" ")) for phrase, label in BASE]
     at = [i for _, found in base for i in found]
     base_labels = {label for label, found in base if found}
