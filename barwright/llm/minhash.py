@@ -7,10 +7,13 @@ that share a band meet in a bucket, where each member gets one edge to the bucke
 Every edge is checked on the full sets.
 
 A center is the member that meets the most others over all of its bands: of a group of edited copies that is the
-text nearest to their common source, to which the copies are nearer than to each other. Members of a bucket that
-are not yet in one component are then checked against further centers, members of the smallest components first
-and twice as many centers each round, until every bucket is one component or all its pairs have been looked at. So a bucket never
-decides by one comparison, and a bucket that is one component costs as many comparisons as it has members.
+text nearest to their common source, to which the copies are nearer than to each other. A bucket whose members are
+then one component is done: a bucket of copies costs as many comparisons as it has members.
+
+Documents of buckets that are not one component (they share a common passage, or their center was not near to all)
+are joined exactly: shingles are ordered from the rarest to the most frequent among these documents, and two sets
+that are similar enough share one of their first few, early enough that what follows can still make up the overlap.
+Only pairs of different components are looked at; a passage that many documents share is among the last shingles and makes no pairs.
 
 Equal word sequences are one class from the start; only one text of a class is compared.
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import column, mix
-from barwright.llm.graph import components
+from barwright.llm.graph import components, merged
 from barwright.session import materialize
 
 BANDS, ROWS = 32, 4
@@ -172,7 +175,7 @@ def ordered(x: str, y: str) -> list:
 
 
 def linked_classes(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, component`` of the classes that are linked with others. members: ``key, id`` of shared buckets."""
+    """``id, component`` of the classes that are linked with others. members: ``key, n, id`` of shared buckets of n."""
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = materialize(members.select("key", "id").join(weight, "id"), "members")
     # of the members with the greatest weight the smallest id
@@ -192,36 +195,53 @@ def linked_classes(members: DataFrame, docs: DataFrame, words: int, percent: int
         "pairs",
     )
     links = materialize(verified(seen, texts, words, percent), "links")
-    seen, used = seen.select(*ordered("a", "b")), centers
-    open_buckets, most = members, 1
-    while True:
-        groups = components(links)
-        # buckets that are not one component
-        open_buckets = open_buckets.select("key", "id", "weight").join(groups, "id", "left").select(
-            "key", "id", "weight", F.coalesce("component", "id").alias("component")
-        )
-        mixed = open_buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_buckets = materialize(
-            open_buckets.join(mixed.filter("lo < hi").select("key"), "key", "left_semi")
-            .join(used, (used["key"] == open_buckets["key"]) & (used["center"] == open_buckets["id"]), "left_anti"),
-            "open",
-        )
-        if open_buckets.isEmpty():
-            return groups
-        sizes = open_buckets.groupBy("key", "component").agg(F.count("*").alias("size"))
-        rank = F.expr("row_number() over (partition by key order by size, weight desc, id)")
-        used = materialize(
-            open_buckets.join(sizes, ["key", "component"]).withColumn("rank", rank).filter(F.col("rank") <= most)
-            .select("key", F.col("id").alias("center"), F.col("component").alias("of")),
-            "centers",
-        )
-        pairs = materialize(
-            open_buckets.join(used, "key").filter("component <> of").select(*ordered("id", "center")).distinct()
-            .join(seen, ["a", "b"], "left_anti"),
-            "pairs",
-        )
-        links = materialize(links.unionAll(verified(pairs, texts, words, percent)), "links")
-        seen, used, most = materialize(seen.unionAll(pairs), "seen"), used.select("key", "center"), 2 * most
+    groups = components(links)
+    labelled = members.select("key", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    rest = materialize(labelled.join(mixed.select("key"), "key", "left_semi").select("id", "component").distinct(), "rest")
+    pairs = prefix_pairs(rest.join(texts, "id"), words, percent).join(seen.select(*ordered("a", "b")), ["a", "b"], "left_anti")
+    more = materialize(verified(materialize(pairs, "pairs"), texts, words, percent), "links")
+    return merged(groups, more)
+
+
+def set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [shingler.hashes(shingler.split(t)).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "component", "items"]
+                )
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that can be similar enough. docs: ``id, component, text``."""
+    sets = materialize(
+        docs.select("id", "component", "text").mapInArrow(set_rows(words), "id long, component long, items array<long>"), "sets"
+    )
+    items = sets.select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    # an item of one document alone comes first in the order and meets nothing
+    often = materialize(items.groupBy("item").agg(F.count("*").alias("docs")).filter("docs > 1"), "items")
+    place = F.col("n") - F.expr("count(*) over (partition by id)") + F.expr("row_number() over (partition by id order by docs, item)")
+    # the larger set is looked up by its first n - ceil(n p / 100) + 1 items, the smaller one lies under its first
+    # n - ceil(2 n p / (100 + p)) + 1, p the percentage: whole numbers only
+    larger = materialize(
+        items.join(often, "item").withColumn("place", place).filter(f"place <= n - (n * {percent} + 99) div 100 + 1")
+        .select("item", "id", "component", "n", "place"),
+        "prefixes",
+    )
+    smaller = larger.filter(f"place <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
+    larger = larger.select("item", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "place")))
+    # what stands before the first common item is in one set only: the rest must do for the overlap
+    near = smaller.join(larger, "item").filter(
+        f"(n < n_b or n = n_b and id < id_b) and component <> component_b and 100 * n >= {percent} * n_b "
+        f"and {100 + percent} * (1 + least(n - place, n_b - place_b)) >= {percent} * (n + n_b)"
+    ).select(*ordered("id", "id_b"))
+    return near.distinct()
 
 
 def near_duplicates(
