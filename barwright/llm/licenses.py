@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import column
+from barwright.llm.common import column, slices
 
 # --- fixed values: the base phrases and their labels ---
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -224,7 +224,7 @@ def scan_text(scanner: Scanner, text: str | None) -> tuple:
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(rules())
     kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32())]))
-    for batch in batches:
+    for batch in slices(batches):
         rows = [scan_text(scanner, t) for t in batch.column(1).to_pylist()]
         columns = list(zip(*rows)) if rows else [[]] * 8
         spans = [[dict(zip(("label", "start", "end", "priority"), s)) for s in own] for own in columns[7]]

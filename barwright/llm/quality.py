@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import column
+from barwright.llm.common import column, slices
 
 MOST_ROWS = 8000
 LEAST_DOCS = 4
 MOST_WEIGHTS = 1000
 LEAST_Z = 5.0
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 STEMS = (4, 5)
 LETTERS = bytes(
     ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("A") if 0x41 <= b <= 0x5A else ord("0") if 0x30 <= b <= 0x39 else ord("."
@@ -183,7 +183,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
 
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
-    for batch in batches:
+    for batch in slices(batches):
         rows = [features.of(t).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["grade", "features"]
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in slices(batches):
             tails = [model.tails(model.score(features.of(t))) for t in batch.column(1).to_pylist()]
             p1, p2 = (pa.array([t[i] for t in tails], pa.float64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
@@ -233,7 +233,7 @@ def good(model: Model, place: int, keep_from: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in slices(batches):
             keep = [model.tails(model.score(features.of(t)))[1] >= keep_from for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -242,4 +242,6 @@ def good(model: Model, place: int, keep_from: float):
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", keep_from: float = 0.75) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are good with a probability of ``keep_from`` or more."""
-    return docs.mapInArrow(good(model, docs.columns.index(text), keep_from), docs.schema)
+    # under plain names: a column's own may hold dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(good(model, docs.columns.index(text), keep_from), plain.schema).toDF(*docs.columns)

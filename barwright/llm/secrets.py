@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from barwright.llm.common import column, fresh
 from barwright.session import materialize
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 BEFORE, AFTER = 48, 16
 MASK = "[SECRET]"
 SECRET_WORDS = "token|secret|passw|api.?key|access.?key|auth|bearer|credential|private"
@@ -117,7 +117,7 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, part(hexes, pick("n", (32, 40, 64))), plain), (0, part(hexes, 40), plain), (0, uuid, pick("u", ("id: ", "uuid=", "/", "see "))),
         (0, F.concat(*words), prose), (0, F.concat_ws("_", *words[:4]), prose), (0, F.concat_ws("-", *words), pick("v", ("https://www.", "/", "see "))),
         (0, F.concat_ws("/", *words[:4], F.substring(hexes, 1, 4)), pick("q", ("/usr/", "https://", "./", "in "))),
-        (0, part(F.translate(hexes, "abcdef", "012345"), size("e", 16, 24)), prose), (0, F.repeat(pick("r", ("x", "0", "=", "-", "*", "ab")), size("f", 16, 40)), F.when(size("x", 0, 1) == 0, keyed).otherwise(prose)),
+        (0, part(F.translate(hexes, "abcdef", "012345"), size("e", 16, 24)), prose), (0, F.repeat(pick("r", ("x", "0", "-", "_", "ab")), size("f", 16, 40)), F.when(size("x", 0, 1) == 0, keyed).otherwise(prose)),
         (0, F.upper(F.concat_ws("_", F.lit("your"), *words[:2], F.lit("here"))), keyed), (0, part(letters, size("g", 16, 28)), prose),
         (0, F.initcap(part(letters, size("g", 16, 24))), prose),
     )

@@ -36,7 +36,7 @@ def test_findings(spark, model, text, secret):
 
 def test_places_equal_a_plain_scan(spark, model):
     text = f'a {HEX} é漢 {KEY}\n{HEX}{HEX} {prose(1, 40)} x_{"y" * 5000} end'
-    want = [(m.start(), m.group()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+    want = [(m.start(), m.group()) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", text)]
     got = secrets.find_secrets(docs(spark, [(7, text)]), model).orderBy("finding").collect()
     assert [(r.start, r.found) for r in got] == want
 
