@@ -42,7 +42,8 @@ from barwright.llm.graph import components, merged
 from barwright.session import materialize
 
 BANDS, ROWS = 32, 4
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+SLICE = 256
 DRAWS = 2048
 
 
@@ -122,20 +123,22 @@ def sketcher(words: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sizes, h1, h2, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                split = shingler.split(text)
-                hashes = shingler.hashes(split)
-                whole = xxhash.xxh3_128_intdigest(b" ".join(split))
-                sizes.append(len(hashes))
-                h1.append((whole >> 64) - (1 << 63))
-                h2.append((whole & (2**64 - 1)) - (1 << 63))
-                keys.append(band_keys(signature(hashes, bins), bands, rows) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "h1", "h2", "keys"],
-            )
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                sizes, h1, h2, keys = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    split = shingler.split(text)
+                    hashes = shingler.hashes(split)
+                    whole = xxhash.xxh3_128_intdigest(b" ".join(split))
+                    sizes.append(len(hashes))
+                    h1.append((whole >> 64) - (1 << 63))
+                    h2.append((whole & (2**64 - 1)) - (1 << 63))
+                    keys.append(band_keys(signature(hashes, bins), bands, rows) if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                     pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "h1", "h2", "keys"],
+                )
 
     return sketch
 
@@ -146,19 +149,18 @@ def overlap(words: int, percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, mine = Shingler(words), None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y, text_a, text_b) in enumerate(
-                zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ):
-                if x != last:
-                    last, mine = x, shingler.hashes(shingler.split(text_a))
-                other = shingler.hashes(shingler.split(text_b))
-                shared = len(mine) + len(other) - len(np.union1d(mine, other))
-                if shared and 100 * shared >= percent * (len(mine) + len(other) - shared):
-                    keep.append(i)
-            picked = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], ["a", "b"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                keep = []
+                for i, (x, _, text_a, text_b) in enumerate(zip(*(part.column(k).to_pylist() for k in range(4)))):
+                    if x != last:
+                        last, mine = x, shingler.hashes(shingler.split(text_a))
+                    other = shingler.hashes(shingler.split(text_b))
+                    shared = len(mine) + len(other) - len(np.union1d(mine, other))
+                    if shared and 100 * shared >= percent * (len(mine) + len(other) - shared):
+                        keep.append(i)
+                picked = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(picked), part.column(1).take(picked)], ["a", "b"])
 
     return check
 
