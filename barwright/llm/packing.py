@@ -16,16 +16,18 @@ Defined cases
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.bpe import BLANK, SEPARATORS
+from barwright.llm.bpe import BLANK, SEPARATORS, WORD
 from barwright.llm.common import column
 from barwright.session import materialize
 
@@ -106,32 +108,70 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 class UnitCache:
-    """Ids of texts by the tokenizers library, which sees what stands between blanks once."""
+    """Ids of texts by the tokenizers library, which sees each word once.
+
+    Texts are cut at blanks and these units into the tokenizer's words, whose ids do not depend on what stands beside them. New
+    words go to the library joined by blanks; each ends with a token that carries the end-of-word mark.
+    """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.blank = regex.compile(f"[{BLANK}]+")
-        self.known: dict[str, bytes] = {}
-
-    def units(self, text: str) -> list[str]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        marks = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(marks) or "(?!)")
+        self.blank, self.word = regex.compile(f"[{BLANK}]+"), regex.compile(WORD)
+        self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
         if any(s in text for s in SEPARATORS):
             return [u for u in self.blank.split(text) if u]
         return text.split()
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), 1000):
+            part = words[start : start + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(part, (4 * stops).tolist()):
+                    self.words[word] = data[at:stop]
+                    at = stop
+            else:
+                self.words.update((word, self.whole(word)) for word in part)
+
+    def learn(self, units: list[str]) -> None:
+        cut = {}
+        for unit in units:
+            simple = unit.isascii()
+            plain = unit.lower() if simple else unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower()
+            if self.special.search(unit) or not (simple or unicodedata.is_normalized("NFC", plain)):
+                self.units[unit] = self.whole(unit)
+            else:
+                cut[unit] = self.word.findall(plain)
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        self.learn_words(list({w for words in cut.values() for w in words if w not in self.words}))
+        for unit, words in cut.items():
+            self.units[unit] = b"".join([self.words[w] for w in words])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. No word of the tokenizer goes over a blank."""
-        split = [self.units(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({u for units in split for u in units if u not in known})
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[unit] = np.array(found.ids, "<u4").tobytes()
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [self.cut(t or "") for t in texts]
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
+        known = self.units
+        self.learn(list({u for units in split for u in units if u not in known}))
         return [b"".join([known[u] for u in units]) for units in split]
 
 
