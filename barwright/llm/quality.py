@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import column, slices
 
-MOST_ROWS = 8000
+MOST_ROWS = 6000
 LEAST_DOCS = 4
-MOST_WEIGHTS = 1000
+MOST_WEIGHTS = 600
 LEAST_Z = 5.0
 REMEMBERED = 150_000
 STEMS = (4, 5)
