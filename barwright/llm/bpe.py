@@ -38,7 +38,7 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 # -----------------------------------------------------------------------------
 #: Python's split() also cuts at these four, which are no white space for the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 OUT_ROWS = 256
 
 
@@ -60,6 +60,10 @@ class Merges:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
+        self.parts = [tuple(m) for m in merges]
+        # the merge that makes each token, if no token has two
+        made = {a + b: i for i, (a, b) in enumerate(merges)}
+        self.made = made if len(made) == len(merges) else None
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.symbols = dict(enumerate(byte_symbols()))
@@ -96,10 +100,32 @@ class Merges:
         if known is None:
             if len(self.together) > REMEMBERED:
                 self.together.clear()
-            known = self.merged(self.cut(left) + self.cut(right)) == [left, right]
+            if self.made is None:
+                known = self.merged(self.cut(left) + self.cut(right)) == [left, right]
+            else:
+                known = self._stay_apart(left, right)
             self.together[left, right] = known
         return known
 
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """``beside`` without merging: takes the two tokens apart along their seam, latest merge first.
+
+        Before the merges of rank ``before`` the parts at the seam stood side by side; had they been a merge of a smaller rank, they
+        would have been joined. Merges of one rank run from the left, so a merge inside the left token comes first.
+        """
+        rank, made, never = self.rank, self.made, 1 << 60
+        before = never
+        while True:
+            if rank.get((left, right), never) < before:
+                return False
+            at_left, at_right = made.get(left, -1), made.get(right, -1)
+            if at_left < 0 and at_right < 0:
+                return True
+            if at_left > at_right:
+                before, left = at_left, self.parts[at_left][1]
+            else:
+                before, right = at_right + 1, self.parts[at_right][0]
+
 
 class Transducer:
     """Symbols of one word in, tokens out as soon as nothing that follows can change them."""
@@ -151,6 +177,33 @@ class Transducer:
                 out += self._settle()
         return out
 
+    def word(self, symbols: str) -> list[str]:
+        """A whole word. A short one is stepped through at once: it would end before anything is given out."""
+        merges, size = self.merges, len(symbols)
+        if size > 2 * merges.lookahead:
+            return self.feed(symbols[:-1]) + self.finish(symbols[-1])
+        ids, known, reach = merges.ids, merges.together, merges.lookahead
+        last = [""] * (size + 1)
+        for end in range(1, size + 1):
+            mark = merges.suffix if end == size else ""
+            for start in range(max(0, end - reach), end):
+                token = symbols[start:end] + mark
+                if token in ids:
+                    before = last[start]
+                    fits = known.get((before, token))
+                    if fits is None:
+                        fits = merges.beside(before, token) if before else merges.stands(token)
+                        known[before, token] = fits
+                    if fits:
+                        last[end] = token
+                        break
+        out, at = [], size
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= len(token) - (len(merges.suffix) if at == size else 0)
+        return out[::-1]
+
     def finish(self, symbol: str) -> list[str]:
         """The word's last symbol; all that is left comes out."""
         self.text += symbol
@@ -190,8 +243,7 @@ class Encoder:
 
     def transduce(self, word: str) -> list[int]:
         symbols = word.encode("utf-8").decode("latin-1").translate(self.merges.symbols)
-        tokens = self.transducer.feed(symbols[:-1]) if len(symbols) > 1 else []
-        return [self.merges.ids[t] for t in tokens + self.transducer.finish(symbols[-1])]
+        return [self.merges.ids[t] for t in self.transducer.word(symbols)]
 
     def unit(self, unit: str) -> bytes:
         """Ids, as little-endian integers, of what stands between two blanks."""
