@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ CHUNK = 1024
 SURE = 4.0
 
 
+@lru_cache(256)
 def rotation(dim: int, number: int) -> np.ndarray:
     """A random orthogonal matrix, the same for the same numbers everywhere."""
     q, r = np.linalg.qr(np.random.default_rng([dim, number]).normal(size=(dim, dim)))
