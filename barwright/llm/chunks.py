@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of a text; where it falls below a limit, a chunk ends. The hash sees 16 bytes, so
 what stands before a passage changes the passage's first cut at most, and an insertion moves no later cut. Chunks are told apart by digest. A chunk
-that occurs in several documents is shared; a run of shared chunks that first occur in the same document is a repeated
-passage, if it is long enough.
+that occurs in several documents is shared; a run of shared chunks is a repeated passage, if it is long enough as a whole. Its chunks
+can first occur in different documents: then each part with one first document is a row of its own, however short.
 
 Digests are counted after a combine per task; of a digest only its first document and whether there is a second are kept. The join that
 finds shared chunks reads two exchanged sides, so the rows of a frequent passage can be split. Texts are read once and never shuffled.
@@ -18,7 +18,7 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -98,11 +98,14 @@ def passages(min_bytes: int):
                 at = 0
                 while at < len(shared):
                     stop = at + 1
-                    while stop < len(shared) and shared[stop] == (shared[stop - 1][0] + 1, shared[at][1]):
+                    while stop < len(shared) and shared[stop][0] == shared[stop - 1][0] + 1:
                         stop += 1
-                    first, last = shared[at][0], shared[stop - 1][0]
-                    if ends[last] - begins[first] >= min_bytes:
-                        rows.append((doc, begins[first], ends[last], sum(words[first : last + 1]), shared[at][1]))
+                    # the whole run has to be long enough; each part of it goes to its own first document
+                    long = ends[shared[stop - 1][0]] - begins[shared[at][0]] >= min_bytes
+                    for first_doc, part in groupby(shared[at:stop], lambda s: s[1]) if long else ():
+                        places = [pos for pos, _ in part]
+                        first, last = places[0], places[-1]
+                        rows.append((doc, begins[first], ends[last], sum(words[first : last + 1]), first_doc))
                     at = stop
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(

@@ -61,6 +61,24 @@ def test_spans_lie_on_the_passage(spark):
     assert kept[1] == texts[1] and kept[3] == texts[3] and len(kept[2]) < len(texts[2]) - 200 and kept[2].startswith(prose(3, 40))
 
 
+def test_a_run_counts_as_a_whole_whatever_its_first_documents(spark):
+    passage = prose(60, 60)
+    own = chunks.cuts(passage.encode())
+    # each lower id holds the passage one chunk further than the one before it
+    early = [(i, f"{prose(100 + i, 30)} {passage[:a]}") for i, a in enumerate(own[1:-1])]
+    rows = [*early, (90, f"{prose(2, 30)} {passage} {prose(3, 30)}"), (91, f"{prose(4, 30)} {passage}")]
+    spans = chunks.repeated_passages(docs(spark, rows)).collect()
+    texts = dict(rows)
+    for doc in (90, 91):
+        mine = sorted((r.start, r.end, r.first_doc) for r in spans if r.doc_id == doc)
+        assert len({first for *_, first in mine}) > 3 and min(b - a for a, b, _ in mine) < chunks.MIN_BYTES
+        assert all(b == c for (_, b, _), (c, _, _) in zip(mine, mine[1:]))  # the parts lie side by side
+        covered = texts[doc].encode()[mine[0][0] : mine[-1][1]].decode()
+        assert covered in passage and len(covered) >= 0.75 * len(passage)
+    # shared chunks that are short as a whole are still no passage
+    assert chunks.repeated_passages(docs(spark, [(1, f"{prose(5, 30)} {prose(6, 5)}"), (2, f"{prose(7, 30)} {prose(6, 5)}")])).count() == 0
+
+
 def test_edge_rows(spark):
     text = prose(9, 100)
     rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "x " * 5000), (5, text + "\n" + text)]
