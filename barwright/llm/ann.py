@@ -7,7 +7,11 @@ distances to the crossed bucket borders, and sets come from a heap in the order
 ranked by their exact distance on the original vectors, in double precision.
 
 The number of functions grows with the logarithm of the rows. Width and number of probes are fitted on a sample of ``SAMPLE`` rows
-whose true neighbours are found by one pass over all rows: so many probes that the tables reach ``TARGET`` of these neighbours.
+whose true neighbours are found by one pass over all rows: so many probes that the tables reach ``TARGET`` of these neighbours, and
+wider cells where no number of probes does. Rows whose last neighbour lies more than ``REACH`` times farther than the middle one's get
+tables of their own. A query is done at the first tables that find it enough rows within the distance they were fitted for; so are its true
+neighbours, which are nearer. Queries that no tables are fitted for (under ``LEAST_FITTED`` in the sample) or that find too few
+rows are compared with all rows, in blocks.
 
 Buckets are dealt out as pairs of a chunk of rows and a chunk of queries, both of fixed size. A task keeps the best few
 of each query that it meets and sends no more than these.
@@ -18,7 +22,7 @@ Defined cases
 - Null, empty or all-zero vectors, such with null or non-finite components, and null ids take no part, neither as query nor as candidate.
 - Vectors of other lengths than the query's are no candidates.
 - A row that is repeated, id and vector, counts once. Ties go to the smaller id.
-- With fewer candidates than asked for in the visited buckets, there are fewer rows.
+- There are fewer rows than asked for only if the table has fewer candidates.
 - Other columns take no part, whatever their names.
 """
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,7 @@ TABLES = 6
 SAMPLE = 96
 TARGET = 0.97
 MOST_PROBES = 2048
+REACH, LEAST_FITTED = 2.0, 4
 ROW_CHUNK, QUERY_CHUNK = 2048, 512
 HELD = 200_000
 
@@ -131,38 +137,56 @@ def sampled(sample: np.ndarray, k: int):
     return run
 
 
-def fit(rows: DataFrame, many: int, k: int) -> tuple[int, float, int]:
-    """Number of functions, width and number of probes for ``many`` rows ``id, vector``."""
+def fit(rows: DataFrame, many: int, k: int) -> list[tuple[int, float, int, float]]:
+    """Number of functions, width, number of probes and reach of each distance scale, for ``many`` rows ``id, vector``."""
     picked = [
         r[0] for r in rows.orderBy(F.xxhash64("id"), "id").select(F.col("vector").cast("array<double>")).limit(SAMPLE).collect()
     ]
     if not picked:
-        return 1, 1.0, 1
+        return []
     dims = [len(p) for p in picked]
     dim = max(set(dims), key=dims.count)
     sample = np.array([p for p in picked if len(p) == dim])
     near = rows.mapInArrow(sampled(sample, k + 1), "query long, vector array<double>, far double")
     rank = F.expr("row_number() over (partition by query order by far)")
     truth = near.withColumn("rank", rank).filter(F.col("rank") <= k + 1).collect()  # SAMPLE times k + 1 rows at most
-    truth = [t for t in truth if t["far"] > 0]
-    if not truth:
-        return 1, 1.0, 1
-    width = 1.5 * float(np.median([t["far"] for t in truth]))
-    for functions in range(max(3, round(math.log2(max(many, 2)) / 3)), 0, -1):
-        hashes = Hashes(dim, functions, width)
-        places = hashes.places(sample)
-        cells = np.floor(hashes.places(np.array([t["vector"] for t in truth]))) - np.floor(places)[[t["query"] for t in truth]]
-        order = [
-            [{step.tobytes(): i for i, step in enumerate(probes(p, MOST_PROBES))} for p in of_query] for of_query in places
-        ]
-        first = np.sort([
-            min(order[t["query"]][table].get(cell.astype(np.int64).tobytes(), MOST_PROBES) for table, cell in enumerate(own))
-            for t, own in zip(truth, cells)
-        ])
-        needed = int(first[min(len(first) - 1, math.ceil(TARGET * len(first)) - 1)]) + 1
-        if needed <= MOST_PROBES:
-            break
-    return functions, width, min(needed, MOST_PROBES)
+    of_query: dict[int, list] = {}
+    for t in truth:
+        if t["far"] > 0:
+            of_query.setdefault(t["query"], []).append(t)
+    last = {q: max(t["far"] for t in own) for q, own in of_query.items()}
+    levels, left = [], set(last)
+    while len(left) >= LEAST_FITTED:
+        middle = float(np.median([last[q] for q in left]))
+        served = sorted((q for q in left if last[q] <= REACH * middle), key=last.get)
+        # the nearer and the farther half of the queries have to be reached each
+        halves = [[t for q in half for t in of_query[q]] for half in (served[: len(served) // 2], served[len(served) // 2 :]) if half]
+        levels.append((*tables_for(sample, halves, 1.5 * middle, many), last[served[-1]]))
+        left.difference_update(served)
+    return levels
+
+
+def tables_for(sample: np.ndarray, groups: list[list], width: float, many: int) -> tuple[int, float, int]:
+    """Number of functions, width and number of probes that reach ``TARGET`` of the neighbours in every group."""
+    while True:
+        for functions in range(max(3, round(math.log2(max(many, 2)) / 3)), 0, -1):
+            hashes = Hashes(sample.shape[1], functions, width)
+            places = hashes.places(sample)
+            order = {
+                q: [{step.tobytes(): i for i, step in enumerate(probes(p, MOST_PROBES))} for p in places[q]]
+                for q in {t["query"] for truth in groups for t in truth}
+            }
+            needed = 0
+            for truth in groups:
+                cells = np.floor(hashes.places(np.array([t["vector"] for t in truth]))) - np.floor(places)[[t["query"] for t in truth]]
+                first = np.sort([
+                    min(order[t["query"]][table].get(cell.astype(np.int64).tobytes(), MOST_PROBES) for table, cell in enumerate(own))
+                    for t, own in zip(truth, cells)
+                ])
+                needed = max(needed, int(first[math.ceil(TARGET * len(first)) - 1]) + 1)
+            if needed <= MOST_PROBES:
+                return functions, width, needed
+        width *= 1.5  # wide enough cells hold them all
 
 
 def hashed(functions: int, width: float, many: int):
@@ -230,6 +254,34 @@ def searched(k: int):
     return run
 
 
+def met(base: DataFrame, index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """``query, row, score``: the k + 1 nearest of the rows that a query meets, by ``key, id`` of rows and queries."""
+    index, visits = materialize(index, "index"), materialize(visits, "visits")
+    sizes = index.groupBy("key").agg(F.count("*").alias("rows")).join(
+        visits.groupBy("key").agg(F.count("*").alias("asked")), "key"
+    )
+    sizes = materialize(
+        sizes.select(
+            "key", F.ceil(F.col("rows") / ROW_CHUNK).cast("int").alias("ni"),
+            F.ceil(F.col("asked") / QUERY_CHUNK).cast("int").alias("nj"),
+        ),
+        "buckets",
+    )
+
+    def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        out = side.join(sizes, "key").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n{own}")).cast("int"))
+        out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return out.join(base.select("id", "vector"), "id").select("key", "i", "j", F.lit(number).alias("side"), "id", "vector")
+
+    both = dealt(index, 0, "i", "j").unionAll(dealt(visits, 1, "j", "i"))
+    found = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        searched(k + 1), "query long, row long, far double"
+    )
+    found = found.groupBy("query", "row").agg(F.min("far").alias("score"))
+    found = found.withColumn("n", F.expr("row_number() over (partition by query order by score, row)")).filter(F.col("n") <= k + 1)
+    return materialize(found.drop("n"), "found")
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -258,32 +310,20 @@ def nearest_neighbours(
         queries.join(classes.select("h1", "h2", F.col("id").alias("query")), ["h1", "h2"]).select("query", "query_id"), "queries"
     )
     asking = base.join(asked.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select("id", "vector")
-    functions, width, many = fit(base.select("id", "vector"), base.count(), k)
-    schema = "key long, id long"
-    index = materialize(base.select("id", "vector").mapInArrow(hashed(functions, width, 1), schema), "index")
-    visits = materialize(asking.mapInArrow(hashed(functions, width, max(2, many)), schema), "visits")
-    sizes = index.groupBy("key").agg(F.count("*").alias("rows")).join(
-        visits.groupBy("key").agg(F.count("*").alias("asked")), "key"
-    )
-    sizes = materialize(
-        sizes.select(
-            "key", F.ceil(F.col("rows") / ROW_CHUNK).cast("int").alias("ni"),
-            F.ceil(F.col("asked") / QUERY_CHUNK).cast("int").alias("nj"),
-        ),
-        "buckets",
-    )
-
-    def dealt(side: DataFrame, number: int, own: str, other: str) -> DataFrame:
-        out = side.join(sizes, "key").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n{own}")).cast("int"))
-        out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
-        return out.join(base.select("id", "vector"), "id").select("key", "i", "j", F.lit(number).alias("side"), "id", "vector")
-
-    both = dealt(index, 0, "i", "j").unionAll(dealt(visits, 1, "j", "i"))
-    found = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        searched(k + 1), "query long, row long, far double"
-    )
-    found = materialize(found.groupBy("query", "row").agg(F.min("far").alias("score")), "found")
-    near = found.withColumn("n", F.expr("row_number() over (partition by query order by score, row)")).filter(F.col("n") <= k + 1)
+    asking, parts = materialize(asking, "asking"), []
+    for functions, width, many, reach in fit(base.select("id", "vector"), base.count(), k):
+        index = base.select("id", "vector").mapInArrow(hashed(functions, width, 1), "key long, id long")
+        visits = asking.mapInArrow(hashed(functions, width, max(2, many)), "key long, id long")
+        found = met(base, index, visits, k)
+        done = found.groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("last")).filter(
+            (F.col("n") == k + 1) & (F.col("last") <= reach)
+        ).select("query")
+        parts.append(found.join(done, "query", "left_semi"))
+        asking = materialize(asking.join(done, F.col("id") == F.col("query"), "left_anti"), "asking")
+    # the others meet all rows of their length
+    every = F.size("vector").cast("long").alias("key")
+    parts.append(met(base, base.select(every, "id"), asking.select(every, "id"), k))
+    near = reduce(DataFrame.unionAll, parts)
     spread = near.join(classes.select(F.col("id").alias("row"), "ids"), "row").select(
         "query", "score", F.explode("ids").alias("vec_id")
     )

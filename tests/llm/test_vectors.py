@@ -100,6 +100,23 @@ def test_neighbours_reach_the_recall(spark):
             assert mine == sorted(mine) and len(mine) == 10
 
 
+def test_neighbours_at_every_distance_scale(spark):
+    rng = np.random.default_rng(4)
+    # most rows in groups of 20 near copies, the others with neighbours a hundred times farther, and one far from all
+    near = np.repeat(rng.normal(size=(80, 16)) * 30, 20, axis=0) + 0.01 * rng.normal(size=(1600, 16))
+    x = np.concatenate([near, 500 + rng.normal(size=(800, 16)), np.full((1, 16), -9000.0)])[rng.permutation(2401)].astype(np.float32)
+    rows = {i: v.tolist() for i, v in enumerate(x)}
+    asked = [*range(0, 2401, 30), int(np.argmin(x[:, 0]))]
+    got = ann.nearest_neighbours(table(spark, [(i, v, 0) for i, v in rows.items()]), F.col("vec_id").isin(asked)).collect()
+    want = brute_nearest(rows, asked, 10)
+    mine = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
+    assert all(len(v) == 10 for v in mine.values())
+    scales = [[q for q in want if a <= want[q][-1][0] < b] for a, b in ((0, 0.5), (0.5, 100), (100, math.inf))]
+    for of_scale in scales:
+        hit = sum(len(mine[q] & {i for _, i in want[q]}) for q in of_scale)
+        assert of_scale and hit >= 0.9 * 10 * len(of_scale), (len(of_scale), hit)
+
+
 def test_neighbours_with_copies_ties_and_unusable_rows(spark):
     rows = [(i, [1.0, 1.0, 0.0], 0) for i in range(0, 400, 10)] + [(7, [1.0, 0.0, 0.0], 0), (9, [1.0, 2.0, 0.0], 0), (3, None, 0), (5, [0.0] * 3, 0),
                                                                  (11, [1.0, math.nan, 0.0], 0), (13, [1.0, 1.0], 0), (None, [1.0, 1.0, 0.0], 0), (10, [1.0, 1.0, 0.0], 0)]
