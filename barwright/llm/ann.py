@@ -49,6 +49,7 @@ MOST_PROBES = 2048
 REACH, LEAST_FITTED = 2.0, 4
 ROW_CHUNK, QUERY_CHUNK = 2048, 512
 HELD = 200_000
+PAIRS = 1 << 15
 
 
 class Hashes:
@@ -108,15 +109,20 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None]
 
 
-def nearest(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and exact distances of the k nearest rows of each query; a few more are looked at exactly."""
-    most = min(len(rows), k + 16)
-    near = np.argpartition(squares(queries, rows), most - 1, axis=1)[:, :most] if most < len(rows) else np.tile(
-        np.arange(len(rows)), (len(queries), 1)
-    )
-    exact = np.sqrt(((queries[:, None] - rows[near]) ** 2).sum(axis=2))
-    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(near, best, axis=1), np.take_along_axis(exact, best, axis=1)
+def nearest(queries: np.ndarray, rows: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and exact distances of the k nearest rows of each query, ties to the smaller id (row number without ids)."""
+    k = min(k, len(rows))
+    far = squares(queries, rows)
+    last = np.partition(far, k - 1, axis=1)[:, k - 1]
+    # all rows that can be as near as the k-th within rounding
+    slack = 8 * (rows.shape[1] + 4) * np.finfo(np.float64).eps * ((queries * queries).sum(axis=1) + (rows * rows).sum(axis=1).max())
+    query, row = np.nonzero(~(far > (last + slack)[:, None]))
+    exact = np.concatenate([
+        np.sqrt(((queries[query[i : i + PAIRS]] - rows[row[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(query), PAIRS)
+    ])
+    order = np.lexsort((row if ids is None else ids[row], exact, query))
+    best = order[np.searchsorted(query, np.arange(len(queries)))[:, None] + np.arange(k)]
+    return row[best], exact[best]
 
 
 def sampled(sample: np.ndarray, k: int):
@@ -239,7 +245,7 @@ def searched(k: int):
             if not base.num_rows or not asked.num_rows:
                 continue
             x, q = (floats(t.column("vector"), t.num_rows).astype(np.float64) for t in (base, asked))
-            at, far = nearest(q, x, k)
+            at, far = nearest(q, x, k, base.column("id").to_numpy())
             held.append((np.repeat(asked.column("id").to_numpy(), at.shape[1]), base.column("id").to_numpy()[at].ravel(), far.ravel()))
             size += at.size
             if size > HELD:

@@ -117,6 +117,19 @@ def test_neighbours_at_every_distance_scale(spark):
         assert of_scale and hit >= 0.9 * 10 * len(of_scale), (len(of_scale), hit)
 
 
+def test_ties_at_the_last_place_go_to_the_smaller_ids():
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([np.eye(200), 0.5 * np.eye(200)[:3]])  # 200 rows at one distance of the first query, three nearer
+    ids = rng.permutation(1000)[: len(rows)]
+    queries = np.stack([np.zeros(200), np.eye(200)[0]])
+    at, far = ann.nearest(queries, rows, 8, ids)
+    assert sorted(ids[at[0]][:3]) == sorted(ids[200:]) and ids[at[0]][3:].tolist() == sorted(ids[:200])[:5]
+    assert far[0].tolist() == [0.5] * 3 + [1.0] * 5 and at[1][:2].tolist() == [0, 200]
+    for q, own in zip(queries, at):
+        want = sorted((math.sqrt(((q - r) ** 2).sum()), i) for r, i in zip(rows, ids.tolist()))[:8]
+        assert [i for _, i in want] == ids[own].tolist()
+
+
 def test_neighbours_with_copies_ties_and_unusable_rows(spark):
     rows = [(i, [1.0, 1.0, 0.0], 0) for i in range(0, 400, 10)] + [(7, [1.0, 0.0, 0.0], 0), (9, [1.0, 2.0, 0.0], 0), (3, None, 0), (5, [0.0] * 3, 0),
                                                                  (11, [1.0, math.nan, 0.0], 0), (13, [1.0, 1.0], 0), (None, [1.0, 1.0, 0.0], 0), (10, [1.0, 1.0, 0.0], 0)]
