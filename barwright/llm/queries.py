@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import ann, bpe, chunks, licenses, lines, merkle, minhash, packing, quality, secrets, vectors
+from barwright.llm import ann, bpe, chunks, licenses, lines, merkle, minhash, packing, quality, rules, secrets, vectors
 from barwright.llm.common import table
 from barwright.llm.oracles import ORACLES  # noqa: F401
 
@@ -74,10 +74,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_texts(table(spark, sf_dir, "documents"), found)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_multiprobe_ann, op2_minhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_best_fit_packing, op6_quality_classifier,
-        op7_line_dedup, op8_secret_scan, op9_bpe_encode_decode, op10_embedding_near_dedup, op12_merkle_manifest,
+        op7_line_dedup, op8_secret_scan, op9_bpe_encode_decode, op10_embedding_near_dedup, op12_merkle_manifest, op13_quality_rules,
     )
 }
