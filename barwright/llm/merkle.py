@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.timegrid import int_div
-from barwright.llm.common import column, fresh
+from barwright.llm.common import bind, column, fresh
 from barwright.session import materialize
 
 FAN, HEIGHT = 3, 6
@@ -112,7 +112,7 @@ class Trees:
     """Written records of several trees by pass, lowest first, and the top of each tree."""
 
     passes: list[DataFrame]
-    tops: DataFrame  # tree, depth (its highest pass), digest
+    tops: DataFrame  # tree, rank (0), depth (its highest pass), digest
 
 
 def build(nodes: DataFrame, label: str) -> Trees:
@@ -125,7 +125,7 @@ def build(nodes: DataFrame, label: str) -> Trees:
         nodes, largest = nodes.select("tree", "size", "rank", "digest").filter("size > 1"), -(-largest // SPAN)
     tops = None
     for depth, records in enumerate(passes):
-        own = records.filter("size = 1").select("tree", F.lit(depth).alias("depth"), "digest")
+        own = records.filter("size = 1").select("tree", "rank", F.lit(depth).alias("depth"), "digest")
         tops = own if tops is None else tops.unionByName(own)
     return Trees(passes, tops)
 
@@ -157,10 +157,10 @@ def descend(trees: Trees, start: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     carried = [name for name in start.columns if name not in ("tree", "digest", "path")]
     needed = wanted.select("tree", int_div(F.col("rank"), F.lit(SPAN)).alias("rank")).distinct()
-    tops = start.join(trees.tops, ["tree", "digest"]).withColumn("rank", F.lit(0).cast("long"))
+    tops = start.join(trees.tops, ["tree", "digest"])
     front = None
     for depth in range(len(trees.passes) - 1, -1, -1):
-        here = tops.filter(F.col("depth") == depth).drop("depth")
+        here = tops.filter(F.col("depth") == depth).select("tree", "digest", *carried, "path", "rank")
         front = here if front is None else front.unionByName(here)
         opened = front.join(by_digest(trees.passes[depth]), "digest")
         if not depth:
@@ -226,8 +226,7 @@ def prove(made: Manifest, requests: DataFrame) -> DataFrame:
             F.aggregate(path, F.col("claimed"), lambda node, s: digest(s["left"], node, s["right"])).alias("folded_root"),
         )
 
-    # the path is bound by a lambda, so it is made once for both
-    checked = met.withColumn("checked", F.get(F.transform(F.array(F.reverse(down)), folded), F.lit(0)))
+    checked = met.withColumn("checked", bind(F.reverse(down), folded))
     return checked.select(*requests.columns, "subroot", "root", "checked.*").withColumn(
         "verified", F.col("folded_root") == F.col("root")
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import ann, bpe, chunks, licenses, lines, merkle, minhash, packing, quality, rules, secrets, vectors
+from barwright.llm import ann, bpe, chunks, licenses, lines, merkle, minhash, packing, quality, rules, secrets, vectors, whitening
 from barwright.llm.common import table
 from barwright.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,6 +67,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row checked against the manifest of all; some texts come back without their line ends."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -82,6 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_multiprobe_ann, op2_minhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_best_fit_packing, op6_quality_classifier,
-        op7_line_dedup, op8_secret_scan, op9_bpe_encode_decode, op10_embedding_near_dedup, op12_merkle_manifest, op13_quality_rules,
+        op7_line_dedup, op8_secret_scan, op9_bpe_encode_decode, op10_embedding_near_dedup,
+        op11_embedding_whitening, op12_merkle_manifest, op13_quality_rules,
     )
 }

@@ -29,7 +29,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import WHITE, column
+from barwright.llm.common import WHITE, bind, column
 from barwright.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -43,11 +43,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OTHER_COUNTS = ("n_lines", "n_distinct", "n_upper", "n_stops")
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def only(text: Column, characters: str) -> Column:
     """Number of characters of a class."""
     return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))

@@ -68,7 +68,7 @@ def row(i, text, source, lang="en"):
     return (i, text, lang, source, None if text is None else len(text))
 
 
-@pytest.mark.parametrize("many", [1, 2, 3, 4, 9, 10, 730])
+@pytest.mark.parametrize("many", [1, 3, 10, 730])
 def test_sizes_of_one_source(spark, many):
     check(spark, [row(i * 7, f"text {i}\nand" if i % 3 else f"text {i}", "a") for i in range(many)])
 

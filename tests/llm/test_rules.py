@@ -59,9 +59,9 @@ def table(spark, many, seed=3):
         words = prose(i, 80 + rng.randrange(200)).split()
         kind = i % 6
         if kind == 4:
-            words = [w + rng.choice("#$%") * 2 for w in words]
+            words = [w[:-1] + rng.choice("#$%") for w in words]
         if kind == 5:
-            words = [w.upper() + "!" for w in words]
+            words = [w.upper() for w in words]
         rows.append((i, " ".join(words)))
         labels.append((i, int(kind < 4), 0))
     return docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
