@@ -26,7 +26,9 @@ from ..schemas import INDICATOR_COLUMNS, VALUE_COLUMNS
 from ..session import scratch_path
 from ..sources import candles, market, tables
 from ..streaming.jobs import run_stream_bars, run_stream_signals
-from .pipeline import catch_up_signals, closed_bars, continue_signals, ingest_then_signals
+from .pipeline import (
+    catch_up_signals, closed_bars, continue_signals, ingest_candles, ingest_then_signals, store_forecasts, sync_predictions,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,15 +96,18 @@ def ingest_start_mark(spark, sf_dir):
     return candles.ingest_window(market.base_candles(spark, sf_dir))
 
 
-def sync_shifted(spark, sf_dir):
+def _local_predictions(spark, sf_dir):
     rows = market.naive_predictions(_bars(spark, sf_dir, ["4h"]))
-    local = rows.withColumns(
+    return rows.withColumns(
         {
             "last_price": F.when((F.col("open_time") / 14400).cast("long") % 11 == 0, 0.0).otherwise(F.col("last_price")),
             "open_time": F.timestamp_seconds(F.col("open_time") + 7 * 3600),
         }
     )
-    return tables.shifted_predictions(local)
+
+
+def sync_shifted(spark, sf_dir):
+    return tables.shifted_predictions(_local_predictions(spark, sf_dir))
 
 
 def look_back_scan(spark, sf_dir):
@@ -275,11 +280,54 @@ def signals_catch_up(spark, sf_dir):
     return _signal_output(table.rows())
 
 
-def ingest_then_signals_twice(spark, sf_dir):
-    """Landed files to candles to signals, the whole chain run twice."""
+def signals_catch_up_late(spark, sf_dir):
+    """Candles of an hour come after their symbol's rows were stored beyond them: stored rows are not revised."""
     base = market.base_candles(spark, sf_dir)
+    first = _first_time(base)
+    late = F.col("open_time").between(first + 5 * 86400, first + 5 * 86400 + 4 * 3600)
+    stored = tables.candle_table(spark, scratch_path(spark, "candles")).provision()
+    table = tables.signal_table(spark, scratch_path(spark, "signals")).provision()
+    for rows, days in ((base.filter(~late & (F.col("open_time") < first + 20 * 86400)), 20), (base, 40000)):
+        stored.insert_ignore(rows)
+        catch_up_signals(stored, table, first + days * 86400, FAN_OUT, base_length=market.BASE_SECONDS)
+    return _signal_output(table.rows())
+
+
+def _landed(base: DataFrame) -> DataFrame:
     text = [F.col(name).cast("string").alias(name) for name in VALUE_COLUMNS]
-    landed = base.select(F.lower("symbol").alias("symbol"), ((F.col("open_time") + 60) * 1000).cast("string").alias("time"), *text)
+    return base.select(F.lower("symbol").alias("symbol"), ((F.col("open_time") + 60) * 1000).cast("string").alias("time"), *text)
+
+
+def ingest_late_symbol(spark, sf_dir):
+    """One symbol's files lag days behind the others': all its candles are stored when they come."""
+    base = market.base_candles(spark, sf_dir)
+    lags = (F.col("symbol") == "CLICKUSDT") & (F.col("open_time") >= _first_time(base) + 3 * 86400)
+    table = tables.candle_table(spark, scratch_path(spark, "candles")).provision()
+    for rows in (base.filter(~lags), base.filter(lags)):
+        ingest_candles(_landed(rows), table)
+    return table.rows()
+
+
+def forecasts_stored(spark, sf_dir):
+    """The forecast job, run twice: predictions are kept once."""
+    prices = market.base_candles(spark, sf_dir).select("symbol", "open_time", "close")
+    table = tables.prediction_table(spark, scratch_path(spark, "predictions")).provision()
+    for _ in range(2):
+        store_forecasts(prices, table, None, 20 * 86400)
+    return rounded(table.rows(), ["next_pred", "lower", "upper", "mse", "mae"], 4)
+
+
+def sync_job(spark, sf_dir):
+    """The copy between prediction stores, run twice."""
+    table = tables.prediction_table(spark, scratch_path(spark, "copy")).provision()
+    for _ in range(2):
+        sync_predictions(_local_predictions(spark, sf_dir), table)
+    return table.rows()
+
+
+def ingest_then_signals_twice(spark, sf_dir):
+    """Landed files to candles to signals, the whole chain run twice."""
+    landed = _landed(market.base_candles(spark, sf_dir))
     stored = tables.candle_table(spark, scratch_path(spark, "candles")).provision()
     signals = tables.signal_table(spark, scratch_path(spark, "signals")).provision()
     for _ in range(2):
@@ -442,6 +490,10 @@ CATALOGUE: dict[str, Query] = {
     "low_watermarks": low_watermark_row,
     "signals_restart": signals_restart,
     "signals_catch_up": signals_catch_up,
+    "signals_catch_up_late": signals_catch_up_late,
+    "ingest_late_symbol": ingest_late_symbol,
+    "forecasts_stored": forecasts_stored,
+    "sync_job": sync_job,
     "ingest_then_signals": ingest_then_signals_twice,
     "forecast_next": forecast_fit,
     "forecast_many_symbols": forecast_many_symbols,

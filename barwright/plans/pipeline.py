@@ -14,10 +14,10 @@ from ..operators.forecast import forecast_next
 from ..operators.indicators import with_slot
 from ..operators.recursion import STATE
 from ..operators.steps import is_ready
-from ..schemas import BAR_SECONDS, FORECAST_LOOKBACK, LOOKBACK_BARS, PIPELINE_INTERVALS, VALUE_COLUMNS
+from ..schemas import BAR_SECONDS, CANDLES, FORECAST_LOOKBACK, LOOKBACK_BARS, PIPELINE_INTERVALS, VALUE_COLUMNS
 from ..session import materialize, scratch
-from ..sources.candles import ingest_window, normalize_landed
-from ..sources.tables import KeyedTable, shifted_predictions
+from ..sources.candles import gather, normalize_landed
+from ..sources.tables import CandleTable, KeyedTable, SignalTable, candle_marks, newest_rows, shifted_predictions
 
 SERIES = ["bar_interval", "symbol"]
 
@@ -46,7 +46,7 @@ def with_state(stored: DataFrame) -> DataFrame:
 PRICES = ("high", "low", "close")
 
 
-def newest_rows(stored: DataFrame) -> DataFrame:
+def newest_states(stored: DataFrame) -> DataFrame:
     """The state of each series: where its newest stored row is, that row's prices and recursive values."""
     rows = with_state(with_slot(with_length(stored)))
     names = [*STATE, *PRICES, "rsi7", "rsi14"]
@@ -70,7 +70,7 @@ def continue_signals(
     where late candles have changed the bar since. Trailing extremes and seeds need the 28 slots before the new bars:
     they come from the stored rows or, if ``recomputed``, from ``bars``, which then reach back so far.
     """
-    newest = newest_rows(stored)
+    newest = newest_states(stored)
     newer = F.coalesce(F.col("slot") > F.col("stored_slot"), F.lit(True))
     known = F.col("slot") == F.col("stored_slot")
     prices = [f"stored_{name}" for name in PRICES]
@@ -96,9 +96,29 @@ def continue_signals(
     return finish_signals(fold_blocks(rows.select(*columns), reseed, True, block, warmup), update_time)
 
 
+def pending_symbols(newest: DataFrame, marks: DataFrame, lengths: Mapping[str, int], end: int) -> DataFrame:
+    """``symbol, needed_from, unseen`` of the symbols with candles for a bar that no series of theirs has yet.
+
+    ``needed_from`` is where their base rows have to start: 28 slots before the oldest stored row that has to go on, or the first candle
+    where a series has no row (``unseen``).
+    """
+    series = F.explode(F.array(*[
+        F.struct(F.lit(label).alias("bar_interval"), F.lit(seconds).cast("long").alias("bar_seconds")) for label, seconds in lengths.items()
+    ]))
+    stored = newest.select(*SERIES, "bar_start")
+    all_series = marks.filter(F.col("first_time") < end).select("symbol", "first_time", "last_time", series.alias("s")).select(
+        "symbol", "first_time", "last_time", "s.*"
+    )
+    joined = all_series.join(stored, SERIES, "left")
+    unseen = F.col("bar_start").isNull()
+    goes_on = F.least(F.col("last_time"), F.lit(end - 1)) >= F.col("bar_start") + F.col("bar_seconds")
+    start = F.when(unseen, F.col("first_time")).otherwise(F.col("bar_start") - LOOKBACK_BARS * F.col("bar_seconds"))
+    return joined.filter(unseen | goes_on).groupBy("symbol").agg(F.min(start).alias("needed_from"), F.bool_or(unseen).alias("unseen"))
+
+
 def catch_up_signals(
-    base: DataFrame,
-    table: KeyedTable,
+    base: DataFrame | CandleTable,
+    table: SignalTable,
     end: int,
     intervals: Iterable[str] | Mapping[str, int] = PIPELINE_INTERVALS,
     symbols: DataFrame | Iterable[str] | None = None,
@@ -107,46 +127,57 @@ def catch_up_signals(
 ) -> None:
     """Bring the signal table up to ``end``: one job for all bars, symbols and intervals.
 
-    Each series continues at its own newest stored row. Of a symbol whose series are all stored, base rows are used from
-    28 slots before the oldest of these rows on; a series without a stored row starts at its first base bar, whatever
-    the other series have.
+    Each series continues at its own newest stored row. Only symbols with candles behind that row take part. Their base rows are read
+    from 28 slots before the oldest of these rows on, in whole days of a ``CandleTable``; series without a stored row start at their
+    first candle and are read apart, so a new symbol does not send the others back to its past. Of the signal table the newest rows are
+    read, and the days they were stored on since: rows that a run added which died before it wrote its state.
     """
     end = end // base_length * base_length
     lengths = interval_seconds(intervals)
-    with scratch(table.spark):
-        stored = only_symbols(table.rows().filter(F.col("bar_interval").isin(list(lengths))), symbols)
-        newest = stored.groupBy(*SERIES).agg(F.max_by(F.struct(*stored.columns), "bar_start").alias("row")).select("row.*")
-        newest = materialize(newest, "newest")
-        reach = with_length(newest).groupBy("symbol").agg(
-            F.min(F.col("bar_start") - LOOKBACK_BARS * F.col("bar_seconds")).alias("needed_from"), F.count(F.lit(1)).alias("series")
-        )
-        source = only_symbols(base, symbols).filter(F.col("open_time") < end)
-        source = source.join(reach.filter(F.col("series") == len(lengths)), "symbol", "left").filter(
-            F.col("needed_from").isNull() | (F.col("open_time") >= F.col("needed_from"))
-        )
-        bars = closed_bars(resample(source.select(*base.columns), lengths), end)
-        table.insert_ignore(continue_signals(bars, newest, end, reseed, recomputed=True))
-
-
-def ingest_candles(landed: DataFrame, table: KeyedTable, as_of: int | Column | None = None) -> None:
-    """Append landed candles that are new, from the start mark of the table on; without one, all of them."""
-    start = ingest_window(table.rows(), as_of).first()["start_time"]
-    rows = normalize_landed(landed)
-    table.insert_ignore(rows if start is None else rows.filter(F.col("open_time") >= start))
+    spark = table.spark
+    with scratch(spark):
+        marks = only_symbols(base.marks() if isinstance(base, CandleTable) else candle_marks(base.filter(F.col("open_time") < end)), symbols)
+        stored = table.newest().filter(F.col("bar_interval").isin(list(lengths)))
+        reach = materialize(pending_symbols(stored, marks, lengths, end), "pending")
+        starts = {r["unseen"]: r["start"] for r in reach.groupBy("unseen").agg(F.min("needed_from").alias("start")).collect()}
+        if not starts:
+            return
+        if False in starts:
+            since = table.since(starts[False]).filter(F.col("bar_interval").isin(list(lengths)))
+            stored = newest_rows(stored.unionByName(since))
+        newest = materialize(stored.join(reach.select("symbol"), "symbol", "left_semi"), "newest")
+        parts = []
+        for unseen, start in starts.items():
+            # one literal bound for all, which prunes; then each symbol's own
+            rows = base.since(start) if isinstance(base, CandleTable) else base.filter(F.col("open_time") >= start)
+            own = reach.filter(F.col("unseen") == unseen).select("symbol", "needed_from")
+            rows = rows.filter(F.col("open_time") < end).join(own, "symbol").filter(F.col("open_time") >= F.col("needed_from"))
+            parts.append(rows.select(*CANDLES.names))
+        bars = closed_bars(resample(gather(parts), lengths), end)
+        days = table.insert_ignore(continue_signals(bars, newest, end, reseed, recomputed=True))
+        if days:
+            table.replace_newest(days)
+
+
+def ingest_candles(landed: DataFrame, table: CandleTable) -> None:
+    """Append the landed candles that are new, whatever their time: a symbol that lags behind the others loses nothing.
+
+    Where a fetch should start is ``ingest_window``; records in hand are never dropped by it.
+    """
+    table.insert_ignore(normalize_landed(landed))
 
 
 def ingest_then_signals(
     landed: DataFrame,
-    candles: KeyedTable,
-    signals: KeyedTable,
+    candles: CandleTable,
+    signals: SignalTable,
     end: int,
     intervals: Iterable[str] | Mapping[str, int] = PIPELINE_INTERVALS,
     base_length: int = 300,
-    as_of: int | Column | None = None,
 ) -> None:
-    """The hourly chain: landed files to candles, candles to signals. Running it again adds nothing."""
-    ingest_candles(landed, candles, as_of)
-    catch_up_signals(candles.rows(), signals, end, intervals, base_length=base_length)
+    """The hourly chain: landed files to candles, candles to signals. Its cost follows what is new. Running it again adds nothing."""
+    ingest_candles(landed, candles)
+    catch_up_signals(candles, signals, end, intervals, base_length=base_length)
 
 
 def rebuild_signals(base: DataFrame, intervals: Iterable[str] | Mapping[str, int], end: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions.timegrid import epoch_seconds, int_div
 from ..schemas import CANDLE_KEY, CANDLES, PREDICTION_KEY, PREDICTIONS, SIGNAL_KEY, SIGNALS, SYNC_LOOKBACK, SYNC_SHIFT
 from ..session import materialize, scratch
 from .candles import clock
+from .current import VersionedTable
 
 
 def day_of(seconds: Column) -> Column:
@@ -51,23 +53,31 @@ class KeyedTable:
             *self.schema.names
         )
 
-    def insert_ignore(self, batch: DataFrame, order: Sequence[str] | None = None) -> None:
+    def on_days(self, days: Sequence[datetime.date]) -> DataFrame:
+        """Stored rows of some days; no other day is read."""
+        return self.read().filter(F.col("day").isin(list(days)))
+
+    def insert_ignore(self, batch: DataFrame, order: Sequence[str] | None = None) -> list[datetime.date]:
         """Append the rows whose key is new: of several with one key the first by ``order`` (else by all columns).
 
-        The batch is computed once; its bounds, the comparison and the append read what was written.
+        The batch is computed once; its days, the comparison and the append read what was written. Only the days that the batch
+        has are compared, however far apart they lie. Returns them.
         """
         names = [*self.schema.names, *[name for name in order or () if name not in self.schema.names]]
         day = day_of(F.col(self.time))
         typed = batch.select(*names).withColumns({f.name: F.col(f.name).cast(f.dataType) for f in self.schema})
         with scratch(self.spark):
             rows = materialize(typed.withColumn("day", day), "batch")
-            bounds = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-            if bounds["first"] is None:
-                return
-            present = self.read().filter(F.col("day").between(bounds["first"], bounds["last"]))
-            fresh = insert_ignore(present, rows, self.key, order).select(*self.stored.names)
-            # files by partition; adaptive execution splits large partitions and joins small ones
-            fresh.hint("rebalance", *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
+            days = sorted(r["day"] for r in rows.select("day").distinct().collect() if r["day"] is not None)
+            if days:
+                fresh = insert_ignore(self.on_days(days), rows, self.key, order).select(*self.stored.names)
+                # files by partition; adaptive execution splits large partitions and joins small ones
+                fresh.hint("rebalance", *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
+                self._inserted(rows)
+            return days
+
+    def _inserted(self, batch: DataFrame) -> None:
+        """Called with every batch, new rows and others, after the append."""
 
 
 def first_per_key(batch: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
@@ -83,12 +93,70 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, key: Sequence[str], ord
     return first_per_key(batch, key, order).join(existing.select(*key), list(key), "left_anti")
 
 
-def candle_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, CANDLES, CANDLE_KEY, "open_time")
+class CandleTable(KeyedTable):
+    """Base candles, with the time of the first and the newest candle of each symbol beside them.
+
+    The marks follow every insert from its batch, so that jobs know which symbols have something new, and how far back, without a
+    scan. Should a run die between the append and the marks, the same insert run again mends them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, CANDLES, CANDLE_KEY, "open_time")
+        self._marks = VersionedTable(spark, f"{path.rstrip('/')}-marks", MARKS)
+
+    def marks(self) -> DataFrame:
+        """``symbol, first_time, last_time``. A table that was filled without marks is read once for them."""
+        if not self._marks.exists():
+            self._marks.replace(candle_marks(self.rows()))
+        return self._marks.read()
+
+    def _inserted(self, batch: DataFrame) -> None:
+        known = self.marks()
+        new = candle_marks(batch)
+        self._marks.replace(
+            known.unionByName(new).groupBy("symbol").agg(F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+        )
+
+
+MARKS = T.StructType(
+    [T.StructField("symbol", T.StringType()), T.StructField("first_time", T.LongType()), T.StructField("last_time", T.LongType())]
+)
+
+
+def candle_marks(candles: DataFrame) -> DataFrame:
+    return candles.groupBy("symbol").agg(F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"))
+
+
+class SignalTable(KeyedTable):
+    """Signal rows, with the newest row of each series beside them: all that a catch-up needs of what is stored."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, SIGNALS, SIGNAL_KEY, "bar_start", ["bar_interval"])
+        self._newest = VersionedTable(spark, f"{path.rstrip('/')}-newest", SIGNALS)
+
+    def newest(self) -> DataFrame:
+        """The newest row of each series. A table that was filled without them is read once."""
+        if not self._newest.exists():
+            self._newest.replace(newest_rows(self.rows()))
+        return self._newest.read()
+
+    def replace_newest(self, days: Sequence[datetime.date]) -> None:
+        """Takes over what an insert has stored on ``days``. The rows come from the table: a row that was there before holds."""
+        self._newest.replace(newest_rows(self.newest().unionByName(self.on_days(days).select(*SIGNALS.names))))
+
+
+def newest_rows(signals: DataFrame) -> DataFrame:
+    """The newest row of each series."""
+    newest = signals.groupBy("bar_interval", "symbol").agg(F.max_by(F.struct(*signals.columns), "bar_start").alias("row"))
+    return newest.select("row.*")
+
+
+def candle_table(spark: SparkSession, path: str) -> CandleTable:
+    return CandleTable(spark, path)
 
 
-def signal_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, SIGNALS, SIGNAL_KEY, "bar_start", ["bar_interval"])
+def signal_table(spark: SparkSession, path: str) -> SignalTable:
+    return SignalTable(spark, path)
 
 
 def prediction_table(spark: SparkSession, path: str) -> KeyedTable:
