@@ -6,7 +6,11 @@ slots and are exact on a block. The recursion starts speculatively at the warm-u
 start (27/28 per bar at the slowest) and the parabolic stop falls in step after a few common turns. Nothing is taken
 on trust: the state every block assumed at its edge is compared with the state its predecessor reached there, and a
 block that assumed wrong is run again from the true state until all edges agree. The first wrong block of a series
-always gets a true state, so the loop ends, and normally there is nothing to repeat.
+always gets a true state, so the loop ends, and normally there is nothing to repeat. The warm-up makes the averages exact to
+rounding, so in practice a wrong edge is one of the stop.
+
+A repair writes the blocks it runs again, and nothing else: a pass is a table of its own, a block counts in the last pass that has
+it, and edges are compared in small tables of two rows a block.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Edge states agree if they differ by less than this, relative to their size: rounding noise of the smoothing.
 TOLERANCE = 1e-12
+MOST_PASSES = 8
 
 # Columns that travel through the tasks; moves and derived values are cheaper to compute again than to ship.
 PASSED = [
@@ -83,8 +88,10 @@ def _run_groups(table: pa.Table, block: int, reseed: bool) -> pa.Table:
     # edge rows tell which state a block with rows of its own started from
     group = np.cumsum(starts) - 1
     live = np.bincount(group, weights=own) > 0
-    edge = ~own & (slots == table.column("block").to_numpy() * block - 1) & live[group]
-    keep = edge | (own if reseed else own & ~np.isnan(results[:, -1]))
+    home = slots // block == table.column("block").to_numpy()
+    edge = ~home & (slots == table.column("block").to_numpy() * block - 1) & live[group]
+    # bars given as context stay beside their block: a later block may have to look back on them
+    keep = edge | (home & ~own) | (own if reseed else own & ~np.isnan(results[:, -1]))
     table = table.select(names)
     if not keep.all():
         table, results = table.filter(pa.array(keep)), results[keep]
@@ -116,12 +123,24 @@ def _differs(a: str, b: str, name: str) -> Column:
     return (left.isNull() != right.isNull()) | F.coalesce(far, F.lit(False))
 
 
-def _wrong_edges(done: DataFrame, block: int) -> DataFrame:
+def _edges(done: DataFrame, block: int, number: int) -> DataFrame:
+    """The states at block edges that a pass has computed: what each block assumed and what it reached."""
+    home = int_div(F.col("slot"), F.lit(block)) == F.col("block")
+    ends = done.filter(~home | (F.col("own") & (F.col("slot") % block == block - 1)))
+    return ends.select(
+        *BLOCK_KEY, "slot", home.alias("reached"), F.lit(number).alias("number"), *STATE
+    )
+
+
+def _wrong_edges(edges: DataFrame, block: int) -> DataFrame:
     """True carry rows for the blocks whose assumed edge state is not the one their predecessor reached."""
+    key = [*BLOCK_KEY, "slot", "reached"]
+    latest = edges.groupBy(*key).agg(F.max("number").alias("number"))
+    edges = edges.join(latest, [*key, "number"])
     columns = [*BLOCK_KEY, "slot", *STATE]
-    reached = done.filter(F.col("own") & (F.col("slot") % block == block - 1)).select(*columns)
-    assumed = done.filter(~F.col("own")).select(*columns)
-    pairs = assumed.alias("assumed").join(reached.alias("reached"), ["bar_interval", "symbol", "slot"])
+    pairs = edges.filter(~F.col("reached")).select(*columns).alias("assumed").join(
+        edges.filter("reached").select(*columns).alias("reached"), ["bar_interval", "symbol", "slot"]
+    )
     differs = _differs("assumed", "reached", STATE[0])
     for name in STATE[1:]:
         differs = differs | _differs("assumed", "reached", name)
@@ -130,39 +149,54 @@ def _wrong_edges(done: DataFrame, block: int) -> DataFrame:
     )
 
 
-def _as_inputs(done: DataFrame) -> DataFrame:
-    return done.filter("own").select(*PASSED, F.lit(True).alias("fresh"))
+def _latest(passes: list[DataFrame], redone: list[DataFrame]) -> DataFrame:
+    """The rows that count, of all passes. redone: the keys of the blocks of each pass after the first."""
+    out = None
+    for at, rows in enumerate(passes):
+        for keys in redone[at:]:
+            rows = rows.join(keys, BLOCK_KEY, "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _inputs_of(done: DataFrame, wrong: DataFrame, block: int) -> DataFrame:
+    """Rows to run blocks again: their own, the 28 slots before them, and the true state at their edge."""
+    home = int_div(F.col("slot"), F.lit(block)) == F.col("block")
+    needed = wrong.select("bar_interval", "symbol", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block")).distinct()
+    rows = done.filter(home).join(needed, BLOCK_KEY, "left_semi").select(*PASSED, F.col("own").alias("fresh"))
+    again = split_blocks(rows, block, LOOKBACK_BARS).join(wrong.select(*BLOCK_KEY), BLOCK_KEY, "left_semi")
+    return again.join(wrong, [*BLOCK_KEY, "slot"], "left")
 
 
 def fold_blocks(
     bars: DataFrame,
     reseed: bool = True,
-    continued: bool = False,
     block: int = BLOCK_SLOTS,
     warmup: int = WARMUP_SLOTS,
 ) -> DataFrame:
     """State of every fresh bar.
 
     ``bars`` has ``slot``, ``fresh`` (false on bars given as context only) and ``carry`` (the state of the bar, where it is
-    known from an earlier run, else NULL). ``continued`` says that such context is there.
+    known from an earlier run, else NULL).
     """
     if not LOOKBACK_BARS <= warmup <= block:
         raise ValueError(f"warm-up must be between {LOOKBACK_BARS} and the block length")
-    rows = window_inputs(bars, block, warmup)
-    done = materialize(_run_blocks(rows, block, reseed), "fold")
+    passes = [materialize(_run_blocks(window_inputs(bars, block, warmup), block, reseed), "fold")]
+    edges, redone = _edges(passes[0], block, 0), []
+    if edges.filter("not reached").isEmpty():  # no series is longer than a block
+        return passes[0].filter("own")
+    edges = materialize(edges, "edges")
     while True:
-        if done.filter(~F.col("own")).isEmpty():  # no series is longer than a block
-            return done
-        wrong = _wrong_edges(done, block)
+        wrong = materialize(_wrong_edges(edges, block), "wrong-edges")
         if wrong.isEmpty():
-            return done.filter("own")
-        wrong = materialize(wrong, "edges")
-        # rows already computed hold all a block needs, unless it leans on context bars
-        source = rows.drop("carry") if continued else split_blocks(_as_inputs(done), block, LOOKBACK_BARS)
-        again = source.join(wrong.select(*BLOCK_KEY), BLOCK_KEY, "left_semi")
-        again = again.join(wrong, [*BLOCK_KEY, "slot"], "left")
-        redone = _run_blocks(again, block, reseed)
-        done = materialize(done.join(wrong, BLOCK_KEY, "left_anti").unionByName(redone), "fold")
+            return _latest(passes, redone).filter("own")
+        if len(passes) > MOST_PASSES:  # one table again, so that the plan does not grow with the passes
+            passes, redone = [materialize(_latest(passes, redone), "fold")], []
+        again = _inputs_of(_latest(passes, redone), wrong, block)
+        passes.append(materialize(_run_blocks(again, block, reseed), "fold-again"))
+        redone.append(wrong.select(*BLOCK_KEY))
+        numbers = int(edges.agg(F.max("number")).first()[0])
+        edges = materialize(edges.unionByName(_edges(passes[-1], block, numbers + 1)), "edges")
 
 
 def finish_signals(state: DataFrame, update_time: Column | int) -> DataFrame:
@@ -192,4 +226,4 @@ def compute_signals(
 ) -> DataFrame:
     """Signals of whole bar series from scratch."""
     fresh = with_slot(bars).withColumns({"fresh": F.lit(True), "carry": no_carry()})
-    return finish_signals(fold_blocks(fresh, reseed, False, block, warmup), update_time)
+    return finish_signals(fold_blocks(fresh, reseed, block, warmup), update_time)

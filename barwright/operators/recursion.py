@@ -190,6 +190,65 @@ def apart(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return slots + np.repeat(shift, np.append(first[1:], len(slots)) - first)
 
 
+CHUNK = 32
+MOST_PASSES = 8
+AVERAGED = (
+    ("c_diff_p", 7), ("c_diff_p", 14), ("c_diff_n", 7), ("c_diff_n", 14), ("dm_p", 14), ("dm_n", 14), ("tr", 14), ("tr", 28),
+)
+
+
+def affine_scan(keep: np.ndarray, add: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """All values of ``v[i] = keep * v[i-1] + add[i]`` (columns apart), starting anew with ``add[i]`` where ``cut[i]``.
+
+    A step is an affine map, and maps compose to maps: all chunks of the rows are run at once from an unknown start, as a multiple
+    of that start and a rest; then the chunk ends are chained, and every row gets its start. Chunks are counted from the last cut, so a
+    value does not depend on what lies before it. ``cut[0]`` must be true.
+    """
+    n, k = add.shape
+    first = np.flatnonzero(cut)
+    own = np.cumsum(cut) - 1
+    offset = np.arange(n) - first[own]
+    chunks = -(-np.diff(np.append(first, n)) // CHUNK)
+    begin = np.cumsum(chunks) - chunks
+    chunk, place = begin[own] + offset // CHUNK, offset % CHUNK
+    rest = np.zeros((int(chunks.sum()), CHUNK, k))
+    rest[chunk, place] = add
+    times = np.cumprod(np.broadcast_to(keep, (CHUNK, k)), axis=0)
+    for i in range(1, CHUNK):
+        rest[:, i] += keep * rest[:, i - 1]
+    head = np.zeros(len(rest), dtype=bool)
+    head[begin] = True
+    start = np.zeros((len(rest), k))
+    for c in np.flatnonzero(~head).tolist():
+        start[c] = rest[c - 1, -1] if head[c - 1] else times[-1] * start[c - 1] + rest[c - 1, -1]
+    values = np.where(head[:, None, None], rest, times * start[:, None] + rest)
+    return values[chunk, place]
+
+
+def _stops(state: np.ndarray, cut: np.ndarray, bars: list[list[float]]) -> None:
+    """Fills the stop's columns between the rows that start anew: the one part that has no map to compose."""
+    out, current = state[:, 9:13].tolist(), None
+    for i, (anew, tr, high, low) in enumerate(zip(cut.tolist(), *bars)):
+        current = out[i] if anew else step_stop(*current, high, low, tr)
+        out[i] = current
+    state[:, 9:13] = out
+
+
+def _states(starts: np.ndarray, anew: np.ndarray, adds: np.ndarray, bars: list[list[float]]) -> np.ndarray:
+    """States of all bars, given which of them start anew and from what."""
+    n = len(anew)
+    keep = np.array([(length - 1) / length for _, length in AVERAGED])
+    state = np.empty((n, len(STATE)))
+    state[:, :8] = affine_scan(keep, np.where(anew[:, None], starts[:, :8], adds), anew)
+    plus, minus = state[:, 4], state[:, 5]
+    total = plus + minus
+    dx = 100.0 * np.abs(np.divide(plus - minus, total, out=np.full(n, NAN), where=total != 0))
+    state[:, 8:9] = affine_scan(np.array([(LONG - 1) / LONG]), np.where(anew, starts[:, 8], dx / LONG)[:, None], anew)
+    state[:, 9:] = starts[:, 9 : len(STATE)]
+    _stops(state, anew, bars)
+    return state
+
+
 def run_series(
     slots: np.ndarray,
     cols: dict[str, np.ndarray],
@@ -201,7 +260,63 @@ def run_series(
     A bar steps if the slot before it has a valid state, and is seeded otherwise. Without ``reseed`` it steps from
     whatever the slot before holds and stays without state if that is missing. ``given`` states the true state of
     bars (by position) the run continues from.
+
+    The averages are scans. Which bars start anew follows from their values: it is assumed, computed and corrected until it
+    holds. Seeds tell by themselves whether the next bar may step, so one pass does unless a value becomes unknown on the way.
     """
+    n, given = len(slots), given or {}
+    if not n:
+        return np.empty((0, len(RESULTS)))
+    moved = with_moves(cols)
+    alone, held = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    alone[1:] = np.diff(slots) != 1
+    held[list(given)] = True
+    adds = np.stack([moved[name] / length for name, length in AVERAGED], axis=1)
+    bars = [moved[name].tolist() for name in ("tr", "high", "low")]
+    starts = np.full((n, len(STATE) + 2), NAN)
+    for i, values in given.items():
+        starts[i, : len(STATE)] = values
+    anew, seeds = alone | held, Seeds(slots, moved) if reseed else None
+    asked = np.flatnonzero(alone & ~held)
+    for _ in range(MOST_PASSES):
+        if reseed:
+            for i in asked.tolist():
+                # behind a seed that is not valid itself the next bar is seeded too
+                while True:
+                    anew[i], starts[i] = True, seeds.at(i)
+                    if is_valid(starts[i]) or i + 1 == n or anew[i + 1]:
+                        break
+                    i += 1
+        state = _states(starts, anew, adds, bars)
+        if not reseed:
+            break
+        short, long = state[:, 0] + state[:, 2], state[:, 1] + state[:, 3]
+        valid = (short > 0) & (long > 0) & ~np.isnan(state[:, 8]) & ~np.isnan(state[:, 12])
+        behind = np.flatnonzero(~valid[:-1] & ~anew[1:]) + 1
+        if not len(behind):
+            break
+        # what is unknown stays so up to the next start: the first of each run counts
+        run = np.cumsum(anew)[behind]
+        asked = behind[np.concatenate([[True], run[1:] != run[:-1]])]
+    else:
+        return run_by_bar(slots, cols, given, reseed)
+    out = np.full((n, len(RESULTS)), NAN)
+    out[:, : len(STATE)] = state
+    stepped, seeded = np.flatnonzero(~anew), anew & ~held
+    out[stepped, 13:15], out[stepped, 15] = state[stepped - 1, 4:6], 0.0
+    if reseed:
+        out[seeded, 13:15], out[seeded, 15] = starts[seeded, 13:15], 1.0
+    else:
+        # nothing to step from: no state, up to the next bar that is given
+        first = np.flatnonzero(anew)
+        out[seeded[first[np.searchsorted(first, np.arange(n), side="right") - 1]]] = NAN
+    return out
+
+
+def run_by_bar(
+    slots: np.ndarray, cols: dict[str, np.ndarray], given: dict[int, tuple] | None = None, reseed: bool = True
+) -> np.ndarray:
+    """``run_series`` bar by bar: the plain form of the rule, and the way out where starts do not settle."""
     cols = with_moves(cols)
     given = given or {}
     blank = (NAN,) * len(RESULTS)

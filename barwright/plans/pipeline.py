@@ -93,7 +93,7 @@ def continue_signals(
             .withColumns({"fresh": F.lit(False), "carry": F.when(known, carry_of()), **unknown})
         )
         rows = rows.select(*columns).unionByName(context.select(*columns))
-    return finish_signals(fold_blocks(rows.select(*columns), reseed, True, block, warmup), update_time)
+    return finish_signals(fold_blocks(rows.select(*columns), reseed, block, warmup), update_time)
 
 
 def pending_symbols(newest: DataFrame, marks: DataFrame, lengths: Mapping[str, int], end: int) -> DataFrame:

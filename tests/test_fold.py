@@ -51,6 +51,27 @@ def test_wrong_edges_are_repeated_until_they_agree(bars, monkeypatch):
     assert len(calls) == 1
 
 
+def test_a_repair_writes_only_the_blocks_it_runs_again(bars, whole, monkeypatch):
+    written = []
+    original = fold.materialize
+
+    def counted(df, label):
+        out = original(df, label)
+        if label.startswith("fold"):
+            written.append((label, out.filter("own").select("symbol", "block").distinct().count(), out.filter("own").count()))
+        return out
+
+    monkeypatch.setattr(fold, "materialize", counted)
+    again = fold.compute_signals(bars, block=64, warmup=28)
+    assert_same(again, whole, SIGNAL_KEY, tolerance=1e-10)
+    (first, blocks, rows), *repairs = written
+    assert first == "fold" and rows == whole.count() and repairs
+    for label, some, few in repairs:
+        assert label == "fold-again" and 0 < some < blocks and few <= 64 * some
+    # blocks that were right stay unwritten: the repairs of all passes together are fewer rows than one whole pass
+    assert sum(few for _, _, few in repairs) < rows
+
+
 def test_long_warmup_needs_no_repetition(spark, monkeypatch):
     bars = resample(candles(spark, walk("A", range(6000), 8) + walk("B", range(3000, 6000), 9)), ["5m"])
     whole = fold.compute_signals(bars)
