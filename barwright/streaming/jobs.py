@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from ..schemas import BAR_COLUMNS, CANDLES
 from ..session import scratch_path
 from ..sources.market import ticks
 from .bars import stream_bars_fan_out, tick_candles
-from .signals import stream_signals
+from .signals import ROCKS, STORE, stream_signals
 
 BARS = T.StructType(
     [
@@ -40,6 +41,17 @@ def run_to_files(stream: DataFrame, spark: SparkSession, label: str) -> str:
     return out
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
 def open_events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     """Event files of a folder as a stream of trades."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -59,5 +71,13 @@ def run_stream_bars(spark: SparkSession, folder: str, labels: Sequence[str], del
 def run_stream_signals(spark: SparkSession, folder: str, labels: Sequence[str], delay: str) -> DataFrame:
     """Bars stored by one stream feed the stateful stream of a second."""
     bars = spark.readStream.schema(BARS).parquet(store_stream_bars(spark, folder, labels, delay))
-    signals = stream_signals(bars)
-    return spark.read.schema(signals.schema).parquet(run_to_files(signals, spark, "stream-signals"))
+    with rocks(spark):
+        signals = stream_signals(bars)
+        return spark.read.schema(signals.schema).parquet(run_to_files(signals, spark, "stream-signals"))
+
+
+def run_continued_signals(spark: SparkSession, stored: DataFrame, bars: DataFrame) -> DataFrame:
+    """Signals of a stream of ``bars`` that goes on from ``stored`` rows, the batch job's."""
+    with rocks(spark):
+        signals = stream_signals(bars, stored)
+        return spark.read.schema(signals.schema).parquet(run_to_files(signals, spark, "stream-signals"))

@@ -6,7 +6,8 @@ from barwright.operators.fold import compute_signals
 from barwright.schemas import CANDLES, SIGNALS
 from barwright.session import scratch_path
 from barwright.streaming.bars import stream_bars
-from barwright.streaming.jobs import BARS
+from barwright.streaming import signals as machine
+from barwright.streaming.jobs import BARS, rocks, run_continued_signals
 from barwright.streaming.signals import stream_signals
 from helpers import SIGNAL_KEY, assert_same, candle, candles, walk
 
@@ -14,9 +15,10 @@ ROWS = walk("A", range(200), 1) + walk("B", [s for s in range(200) if s % 13 and
 
 
 def run(stream, out, progress):
-    query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    with rocks(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
 
 
 def land(df, folder):
@@ -57,3 +59,30 @@ def test_state_between_batches_equals_one_batch_job(spark, cuts):
     run(stream_signals(read_stream(spark, BARS, source)), out, progress)
     stored = spark.read.schema(SIGNALS).parquet(out)
     assert_same(stored, compute_signals(bars), SIGNAL_KEY, tolerance=1e-10)
+
+
+def test_a_stream_goes_on_from_stored_rows(spark):
+    bars = resample(candles(spark, ROWS), ["5m"]).drop("bar_seconds").select(*BARS.names)
+    whole = compute_signals(resample(candles(spark, ROWS), ["5m"]))
+    source = scratch_path(spark, "stream-test")
+    # some bars that are stored come again, and a symbol starts in the stream only
+    stored = whole.filter("bar_start < 120 * 300 and symbol <> 'C'")
+    land(bars.filter("bar_start >= 110 * 300 or symbol = 'C'"), source)
+    got = run_continued_signals(spark, stored, read_stream(spark, BARS, source))
+    assert_same(got, whole.filter("bar_start >= 120 * 300 or symbol = 'C'"), SIGNAL_KEY, tolerance=1e-10)
+
+
+def test_rows_beyond_what_a_task_holds_are_put_down_in_ranges(spark):
+    """Rows come in no order; what a task may hold is made small in the workers through the pickled module."""
+    bars = resample(candles(spark, ROWS), ["5m"])
+    source, out, progress = (scratch_path(spark, "stream-test") for _ in range(3))
+    before = machine.HELD_ROWS, machine.RANGE_SLOTS
+    machine.HELD_ROWS, machine.RANGE_SLOTS = 20, 16
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        bars.drop("bar_seconds").select(*BARS.names).orderBy(F.xxhash64("bar_start")).coalesce(1).write.parquet(source)
+        run(stream_signals(read_stream(spark, BARS, source)), out, progress)
+    finally:
+        machine.HELD_ROWS, machine.RANGE_SLOTS = before
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert_same(spark.read.schema(SIGNALS).parquet(out), compute_signals(bars), SIGNAL_KEY, tolerance=1e-10)
