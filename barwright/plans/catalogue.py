@@ -92,6 +92,27 @@ def ingest_rejects(spark, sf_dir):
     return kept.unionByName(lost).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"), F.sum("num_trades").alias("num_trades"))
 
 
+def ingest_ledger(spark, sf_dir):
+    """One landed file a symbol. The sender lists every record; of one symbol some records never arrived."""
+    trades = market.ticks(market.table(spark, sf_dir, "events"))
+    landed = market.landed_candles(trades).select(
+        F.upper("symbol").alias("name"), "symbol", F.when(F.col("high").cast("long") % 23 == 0, "soon").otherwise(F.col("time")).alias("time"),
+        *VALUE_COLUMNS, (F.col("time").cast("long") % 7000 == 0).alias("missing"),
+    )
+    folder = scratch_path(spark, "landed")
+    arrived = landed.filter(~(F.col("missing") & (F.col("name") == "CLICKUSDT"))).drop("missing")
+    arrived.repartition("name").write.partitionBy("name").option("compression", "gzip").json(folder)
+    rows = candles.read_landed(spark, folder)
+    named = lambda path: F.regexp_extract(path, "name=([^/]*)", 1)
+    files = rows.select("file").distinct()
+    sent = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
+    expected = files.join(sent, named("file") == F.col("symbol")).select("file", "records")
+    ledger = candles.file_ledger(spark, folder, rows, expected)
+    return ledger.filter("file like '%.json.gz'").select(
+        named("file").alias("symbol"), "expected_records", "candles", "rejected", "lost", "status"
+    )
+
+
 def ingest_start_mark(spark, sf_dir):
     return candles.ingest_window(market.base_candles(spark, sf_dir))
 
@@ -456,6 +477,7 @@ CATALOGUE: dict[str, Query] = {
     "ingest_normalize": ingest_normalize,
     "ingest_rejects": ingest_rejects,
     "insert_ignore_merge": insert_ignore_merge,
+    "ingest_ledger": ingest_ledger,
     "ingest_start_mark": ingest_start_mark,
     "sync_shifted": sync_shifted,
     "look_back_scan": look_back_scan,

@@ -47,14 +47,65 @@ def read_landed(spark: SparkSession, path: str | list[str], file_format: str = "
 def unread_files(spark: SparkSession, path: str | list[str], landed: DataFrame) -> DataFrame:
     """``file, reason`` of the landed files that no record came from: damaged, half written, or empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
-    # the two readers write the scheme of a local path differently
-    plain = lambda name: F.regexp_replace(name, "^file:/+", "/")
-    read = landed.select(plain("file").alias("file")).distinct()
-    return files.select(plain("file").alias("file")).join(read, "file", "left_anti").select(
+    read = landed.select(plain_path("file").alias("file")).distinct()
+    return files.select(plain_path("file").alias("file")).join(read, "file", "left_anti").select(
         "file", F.lit("no record could be read").alias("reason")
     )
 
 
+def plain_path(name: str) -> Column:
+    """A file's path without the scheme of a local store, which readers write differently."""
+    return F.regexp_replace(name, "^file:/+", "/")
+
+
+def file_ledger(spark: SparkSession, path: str | list[str], landed: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """What each landed JSON or CSV file should hold and what was read of it: one row a file.
+
+    ``expected_bytes`` is the file's size, of a gzip file the size that its trailer states for the text inside; ``read_bytes`` is the
+    text that came out of it. ``expected`` (``file, records``, as the sender lists them) adds ``expected_records``; ``lost`` is how many
+    of them are neither candles nor rejects. ``status`` is ``whole``, ``cut off`` (less text or fewer records than expected) or
+    ``unread`` (nothing came of it, or it never came). Empty files show only where the sender lists them.
+    """
+    store = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    zipped = F.lower("path").endswith(".gz")
+    # the last four bytes, least first: the text's size modulo 2^32
+    trailer = _little_endian(F.substring("content", -4, 4))
+    files = store.select(
+        plain_path("path").alias("file"), F.col("length").alias("bytes"),
+        F.when(zipped, trailer).otherwise(F.col("length")).alias("expected_bytes"), zipped.alias("zipped"),
+    )
+    lines = (
+        spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+        .select(plain_path("_metadata.file_path").alias("file"), (F.octet_length("value") + 1).alias("size"))
+        .groupBy("file").agg(F.sum("size").alias("read_bytes"))
+    )
+    bad = reject_reason(landed).isNotNull()
+    counts = landed.groupBy(plain_path("file").alias("file")).agg(
+        F.count_if(~bad).alias("candles"), F.count_if(bad).alias("rejected")
+    )
+    if expected is None:
+        expected = files.select("file", F.lit(None).cast("long").alias("records")).limit(0)
+    named = expected.select(plain_path("file").alias("file"), F.col("records").cast("long").alias("expected_records"))
+    # files that the sender lists and that never came, or came empty, have a row too
+    rows = files.join(named, "file", "full").join(lines, "file", "left").join(counts, "file", "left").na.fill(
+        0, ["bytes", "expected_bytes", "read_bytes", "candles", "rejected"]
+    ).na.fill(False, ["zipped"])
+    read = F.col("candles") + F.col("rejected")
+    lost = F.greatest(F.col("expected_records") - read, F.lit(0))
+    # the last line may end without a line feed; sizes of zipped texts are known modulo 2^32
+    size = F.when(F.col("zipped"), F.col("read_bytes") % 4294967296).otherwise(F.col("read_bytes"))
+    short = ~size.isin(F.col("expected_bytes"), F.col("expected_bytes") + 1)
+    return rows.select(
+        "file", "bytes", "expected_bytes", "read_bytes", "expected_records", "candles", "rejected", lost.alias("lost"),
+        F.when((read == 0) & ((F.col("bytes") > 0) | (lost > 0)), "unread").when(short | (lost > 0), "cut off").otherwise("whole").alias("status"),
+    )
+
+
+def _little_endian(four: Column) -> Column:
+    digits = [F.conv(F.hex(F.substring(four, at, 1)), 16, 10).cast("long") for at in (1, 2, 3, 4)]
+    return digits[0] + digits[1] * 256 + digits[2] * 65536 + digits[3] * 16777216
+
+
 def reject_reason(landed: DataFrame) -> Column:
     """Why a landed record cannot become a candle; NULL if it can."""
     reason = F.when(F.col(MALFORMED).isNotNull(), "malformed record") if MALFORMED in landed.columns else F.when(F.lit(False), "")

@@ -232,3 +232,33 @@ def test_short_series_have_a_price_but_no_forecast(spark):
 
 def test_signal_schema_is_complete():
     assert len(SIGNALS.names) == 47 + 2
+
+
+def test_the_ledger_reports_files_that_were_cut_off(spark, tmp_path):
+    import gzip
+
+    line = '{{"symbol": "btcusdt", "time": "{}", "open": "1"}}\n'
+    text = "".join(line.format((slot * 300 + 60) * 1000 if slot % 10 else "soon") for slot in range(5000)).encode()
+    whole, cut = gzip.compress(text), gzip.compress(text)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "whole.json.gz").write_bytes(whole)
+    (folder / "cut.json.gz").write_bytes(cut[: len(cut) // 2])
+    (folder / "plain.json").write_bytes(text.rstrip(b"\n"))
+    (folder / "short.json").write_bytes(text[: len(text) // 3])
+    (folder / "dead.json.gz").write_bytes(b"not zipped at all")
+    (folder / "none.json").write_bytes(b"")
+    landed = src.read_landed(spark, str(folder))
+    listed = spark.createDataFrame(
+        [(f"{folder}/{name}", 0 if name == "none.json" else 5000) for name in sorted(os.listdir(folder)) if not name.startswith(".")],
+        "file string, records long")
+    rows = {r.file.rsplit("/", 1)[1]: r for r in src.file_ledger(spark, str(folder), landed, listed).collect()}
+    assert {n: r.status for n, r in rows.items()} == {
+        "whole.json.gz": "whole", "cut.json.gz": "cut off", "plain.json": "whole", "short.json": "cut off", "dead.json.gz": "unread",
+        "none.json": "whole"}
+    assert all(r.candles + r.rejected + r.lost == r.expected_records for r in rows.values())
+    assert (rows["whole.json.gz"].candles, rows["whole.json.gz"].rejected) == (4500, 500)
+    assert rows["short.json"].rejected > 0 and rows["dead.json.gz"].lost == 5000
+    # without a list of the sender the sizes alone tell of zipped files
+    alone = {r.file.rsplit("/", 1)[1]: r.status for r in src.file_ledger(spark, str(folder), landed).collect()}
+    assert alone["cut.json.gz"] == "cut off" and alone["whole.json.gz"] == alone["plain.json"] == "whole"

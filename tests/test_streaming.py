@@ -5,7 +5,7 @@ from barwright.operators.bars import resample
 from barwright.operators.fold import compute_signals
 from barwright.schemas import CANDLES, SIGNALS
 from barwright.session import scratch_path
-from barwright.streaming.bars import stream_bars
+from barwright.streaming.bars import stream_bars, stream_bars_fan_out
 from barwright.streaming import signals as machine
 from barwright.streaming.jobs import BARS, rocks, run_continued_signals
 from barwright.streaming.signals import stream_signals
@@ -86,3 +86,19 @@ def test_rows_beyond_what_a_task_holds_are_put_down_in_ranges(spark):
         machine.HELD_ROWS, machine.RANGE_SLOTS = before
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert_same(spark.read.schema(SIGNALS).parquet(out), compute_signals(bars), SIGNAL_KEY, tolerance=1e-10)
+
+
+def test_bars_of_all_lengths_come_from_one_read(spark):
+    source, out, progress = (scratch_path(spark, "stream-test") for _ in range(3))
+    base = candles(spark, ROWS)
+    stream = lambda: stream_bars_fan_out(read_stream(spark, CANDLES, source), ("10m", "15m", "1h"), "5 minutes")
+    for start, end in ((0, 70), (70, 71), (71, 140), (140, 200)):
+        land(base.filter((F.col("open_time") >= start * 300) & (F.col("open_time") < end * 300)), source)
+        run(stream(), out, progress)
+    assert stream()._jdf.queryExecution().analyzed().toString().count("StreamingRelation") == 1
+    # a row behind the watermark is dropped by all lengths alike
+    land(candles(spark, [candle("A", 300, 9999, 0, 1)]), source)
+    run(stream(), out, progress)
+    closed = F.col("close_time") <= 199 * 300 - 300
+    batch = resample(base, ["10m", "15m", "1h"]).drop("bar_seconds").filter(closed)
+    assert_same(spark.read.schema(BARS).parquet(out), batch, SIGNAL_KEY)
