@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import codecs
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +33,15 @@ from barwright.llm.common import column
 
 # --- fixed values: white space and word pattern of the published tokenizer ---
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+WORD = "|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 # -----------------------------------------------------------------------------
 #: Python's split() also cuts at these four, which are no white space for the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-REMEMBERED = 600_000
+#: Characters up to here have had their case, form and class in every version of Unicode, so Python and the library agree on them. Units
+#: with any other one take the library's own normalizer and splitter.
+SETTLED = "\u024f"
+REMEMBERED = 400_000
 OUT_ROWS = 256
 
 
@@ -65,6 +68,7 @@ class Merges:
         made = {a + b: i for i, (a, b) in enumerate(merges)}
         self.made = made if len(made) == len(merges) else None
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.named = spec.get("decoder") is None
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.symbols = dict(enumerate(byte_symbols()))
         self.lookahead = max(len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t in self.ids)
@@ -222,7 +226,12 @@ class Encoder:
     """Texts to ids: normal form, special tokens, words, then the transducer."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.merges = Merges(path)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.unsettled = regex.compile(f"[^\x00-{SETTLED}]")
         self.word = regex.compile(WORD)
         self.blank = regex.compile(f"[{BLANK}]+")
         marks = "|".join(regex.escape(s) for s in self.merges.special)
@@ -245,25 +254,37 @@ class Encoder:
         symbols = word.encode("utf-8").decode("latin-1").translate(self.merges.symbols)
         return [self.merges.ids[t] for t in self.transducer.word(symbols)]
 
-    def unit(self, unit: str) -> bytes:
-        """Ids, as little-endian integers, of what stands between two blanks."""
+    def unit(self, unit: str, settled: bool = True) -> bytes:
+        """Ids, as little-endian integers, of what stands between two blanks; in lower case if it is settled."""
         found = self.known.get(unit)
         if found is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            ids = [i for word in self.word.findall(unit) for i in self.word_ids(word)]
+            if settled:
+                ids = [i for word in self.word.findall(unit) for i in self.word_ids(word)]
+            else:
+                pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(unit))
+                ids = [self.merges.ids[t] for piece, _ in pieces for t in self.transducer.word(piece)]
             found = np.array(ids, "<i4").tobytes()
             if len(unit) < 64:
                 self.known[unit] = found
         return found
 
+    def units(self, text: str) -> list[str]:
+        return self.blank.split(text) if any(s in text for s in SEPARATORS) else text.split()
+
     def plain(self, text: str) -> Iterator[bytes]:
-        # each character by itself, so no form of a letter depends on its place in the word
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        units = self.blank.split(text) if any(s in text for s in SEPARATORS) else text.split()
         known = self.known
-        for unit in units:
-            yield known.get(unit) or self.unit(unit)
+        if self.unsettled.search(text) is None:
+            for unit in self.units(text.lower()):
+                yield known.get(unit) or self.unit(unit)
+            return
+        for unit in self.units(text):
+            if self.unsettled.search(unit) is None:
+                unit = unit.lower()
+                yield known.get(unit) or self.unit(unit)
+            else:
+                yield known.get(unit) or self.unit(unit, settled=False)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -280,12 +301,13 @@ class Decoder:
     """Ids to text, one after the other.
 
     ``plain``: tokens under the names of the vocabulary file with a blank between them, as a tokenizer file
-    without a decoder has it. Otherwise the bytes they stand for, the end-of-word mark as a blank; bytes wait
+    without a decoder has it; left out, the file decides. Otherwise the bytes they stand for, the end-of-word mark as a blank; bytes wait
     until their character is complete.
     """
 
-    def __init__(self, merges: Merges, plain: bool = True):
-        self.merges, self.names, self.by_name, self.begun = merges, merges.names, plain, False
+    def __init__(self, merges: Merges, plain: bool | None = None):
+        self.merges, self.names, self.begun = merges, merges.names, False
+        self.by_name = merges.named if plain is None else plain
         self.byte = {s: b for b, s in merges.symbols.items()}
         self.characters = codecs.getincrementaldecoder("utf-8")("replace")
 

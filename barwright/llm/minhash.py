@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import column, mix
+from barwright.llm.common import column, fresh, mix
 from barwright.llm.graph import components, merged
 from barwright.session import materialize
 
@@ -279,3 +279,27 @@ def near_duplicates(
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each group stays, the one with the smallest id. All columns.
+
+    Rows are told apart by id and text, not by id alone. The rows of an id with several texts, and those without an id, are compared
+    under keys of their own (above all ids, from a hash of id and text), so that a text is not dropped for another that bears its id. Of
+    rows that repeat both id and text one is left.
+    """
+    key, other = fresh(docs.columns, "key", "first_text")
+    own = F.xxhash64(column(doc_id), column(text), F.length(column(text)))
+    texts = docs.select(column(doc_id).cast("long").alias("id"), own.alias("text")).distinct()
+    clashes = materialize(texts.groupBy("id").agg(F.min("text").alias(other), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", other), "clashes")
+    ids = column(doc_id).cast("long")
+    keyed = docs.join(clashes.withColumnRenamed("id", key), ids == F.col(key), "left")
+    apart = ids.isNull() | (F.col(other).isNotNull() & (F.col(other) != own))
+    keyed = keyed.withColumn(key, F.when(apart, F.lit(1 << 62) + F.pmod(own, F.lit(1 << 62))).otherwise(ids)).drop(other)
+    judged = near_duplicates(keyed.select(F.col(key).alias("doc_id"), column(text).alias("text")), **settings)
+    judged = materialize(judged.select("doc_id", "kept"), "judged")
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    repeated = judged.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    left = keyed.join(dropped, key, "left_anti")
+    once = left.join(repeated, key, "left_semi").dropDuplicates([key])
+    return left.join(repeated, key, "left_anti").unionByName(once).select(*[column(c) for c in docs.columns])

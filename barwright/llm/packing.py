@@ -16,10 +16,13 @@ Defined cases
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.bpe import BLANK, SEPARATORS, WORD
+from barwright.llm.bpe import BLANK, CONTRACTIONS, SEPARATORS, SETTLED, byte_symbols
 from barwright.llm.common import column
 from barwright.session import materialize
 
 CAPACITY = 2048
 CLOSING_ID = 0
-REMEMBERED = 500_000
+REMEMBERED, LONGEST = 200_000, 32
 PART_ROWS, MOST_PARTS = 1024, 4096
 
 
@@ -108,10 +111,11 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 class UnitCache:
-    """Ids of texts by the tokenizers library, which sees each word once.
+    """Ids of texts by the tokenizers library, whose model sees each word once.
 
-    Texts are cut at blanks and these units into the tokenizer's words, whose ids do not depend on what stands beside them. New
-    words go to the library joined by blanks; each ends with a token that carries the end-of-word mark.
+    The words of the tokenizer's pattern are found in the lowered text and given to the model, whose ids for a word do not depend on
+    what stands beside it. A text with a special token, or with characters that Python may know by another version of Unicode, is
+    first cut at blanks, and the units that hold them go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -120,59 +124,69 @@ class UnitCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        marks = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(marks) or "(?!)")
-        self.blank, self.word = regex.compile(f"[{BLANK}]+"), regex.compile(WORD)
-        self.units: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsettled = re.compile(f"[^\\x00-{SETTLED}]").search
+        self.blank, self.word = regex.compile(f"[{BLANK}]+"), re.compile(settled_pattern())
         self.words: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[str]:
+    def odd(self, text: str) -> bool:
+        return any(m in text for m in self.marks) or self.unsettled(text) is not None
+
+    def units(self, text: str) -> list[str]:
         if any(s in text for s in SEPARATORS):
             return [u for u in self.blank.split(text) if u]
         return text.split()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn_words(self, words: list[str]) -> None:
-        for start in range(0, len(words), 1000):
-            part = words[start : start + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                data, at = ids.tobytes(), 0
-                for word, stop in zip(part, (4 * stops).tolist()):
-                    self.words[word] = data[at:stop]
-                    at = stop
-            else:
-                self.words.update((word, self.whole(word)) for word in part)
-
-    def learn(self, units: list[str]) -> None:
-        cut = {}
-        for unit in units:
-            simple = unit.isascii()
-            plain = unit.lower() if simple else unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower()
-            if self.special.search(unit) or not (simple or unicodedata.is_normalized("NFC", plain)):
-                self.units[unit] = self.whole(unit)
+    def parts(self, text: str) -> list[str]:
+        """Words in lower case, and odd units as they are."""
+        if not self.odd(text):
+            return self.word.findall(text.lower())
+        out: list[str] = []
+        for unit in self.units(text):
+            if not self.odd(unit):
+                out += self.word.findall(unit.lower())
             else:
-                cut[unit] = self.word.findall(plain)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        self.learn_words(list({w for words in cut.values() for w in words if w not in self.words}))
-        for unit, words in cut.items():
-            self.units[unit] = b"".join([self.words[w] for w in words])
+                out.append(unit)
+        return out
+
+    def ids(self, part: str) -> bytes:
+        if self.odd(part):
+            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [self.cut(t or "") for t in texts]
-        if len(self.units) > REMEMBERED:
-            self.units.clear()
-        known = self.units
-        self.learn(list({u for units in split for u in units if u not in known}))
-        return [b"".join([known[u] for u in units]) for units in split]
+        found = [self.parts(t or "") for t in texts]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        words, ids = self.words, self.ids
+        new = list(set().union(*found).difference(words))
+        for part in new:
+            words[part] = ids(part)
+        out = [b"".join([words[w] for w in parts]) for parts in found]
+        for part in new:
+            if len(part) > LONGEST:  # seldom met again, and of any size
+                del words[part]
+        return out
+
+
+def settled_pattern() -> str:
+    """The word pattern for characters up to ``SETTLED``, with its classes spelled out."""
+    kinds = {chr(c): unicodedata.category(chr(c))[0] for c in range(ord(SETTLED) + 1)}
+    letters, numbers = ("".join(re.escape(c) for c, kind in kinds.items() if kind == wanted) for wanted in "LN")
+    # inside the class of other characters the members stand alone, elsewhere they are a class of their own
+    others = f"[^{BLANK}{letters}{numbers}]+"
+    return "|".join([*CONTRACTIONS, f"[{letters}]+", f"[{numbers}]", others])
+
+
+@lru_cache(1)
+def unit_cache(path: str) -> UnitCache:
+    """One for each Python worker: the tasks it runs share what it has learned."""
+    return UnitCache(path)
 
 
 def cutter(path: str, capacity: int, closing: int):
@@ -180,7 +194,7 @@ def cutter(path: str, capacity: int, closing: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task on each core
-        cache, end = UnitCache(path), np.array([closing], "<u4").tobytes()
+        cache, end = unit_cache(path), np.array([closing], "<u4").tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)

@@ -39,7 +39,7 @@ MOST_ROWS = 6000
 LEAST_DOCS = 4
 MOST_WEIGHTS = 600
 LEAST_Z = 5.0
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 STEMS = (4, 5)
 LETTERS = bytes(
     ord("a") if 0x61 <= b <= 0x7A or b >= 0x80 else ord("A") if 0x41 <= b <= 0x5A else ord("0") if 0x30 <= b <= 0x39 else ord("."

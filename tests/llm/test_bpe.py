@@ -79,3 +79,25 @@ def test_rows(spark, library):
     digest = got.filter("doc_id = 2").select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).first()[0]
     assert digest == hashlib.sha256(b"").hexdigest()
     assert bpe.encode_and_decode(docs(spark, []), PATH).count() == 0
+
+
+def test_all_characters_and_random_marks_equal_the_library(encoder, library):
+    """Python and the library may know different versions of Unicode: both encoders have to give the library's ids."""
+    from barwright.llm.packing import UnitCache
+
+    cache = UnitCache(PATH)
+    rng = random.Random(11)
+    marks = [chr(c) for c in (*range(0x300, 0x370), *range(0x89B, 0x8A0), *range(0x1AB0, 0x1AF0), *range(0x1CD0, 0x1CFA), *range(0x20D0, 0x20F1))]
+    letters = [*"aeiouAEnsİıſẞΣσς", "\u1c89", "\ua7cb", "\u0558", "\u208f", "가", "ﬁ"]
+    found = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x18000), *range(0x1D000, 0x20000), 0xE0001, 0x10FFFF)]
+    found += ["".join(rng.choice(letters if rng.random() < 0.4 else marks) for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    found += ["".join(chr(rng.randrange(0x20, 0x3000)) for _ in range(30)) for _ in range(3000)]
+    for start in range(0, len(found), 5000):
+        part = found[start : start + 5000]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [ids_of(encoder, t) for t in part] == want
+        assert [np.frombuffer(i, "<u4").tolist() for i in cache.encode(part)] == want
+
+
+def test_empty_table(spark):
+    assert bpe.encode_and_decode(docs(spark, []), PATH).collect() == []

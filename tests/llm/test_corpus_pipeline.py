@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries().keys()
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and {*queries.QUERIES, "pipeline"} <= names
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} and {*queries.QUERIES, "pipeline"} <= names
 
 
 def test_stages_one_after_the_other(spark, sf_dir):

@@ -117,3 +117,16 @@ def test_components(spark, seed):
     assert {r.id: r.component for r in first.collect()} == brute_groups(edges)
     second = merged(first, spark.createDataFrame(more, "a long, b long"))
     assert {r.id: r.component for r in second.collect()} == brute_groups(edges + more)
+
+
+def test_rows_of_one_id_with_several_texts_are_judged_apart(spark):
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a), (2, edited(a, 5, 2)), (2, b), (3, edited(b, 6, 2)), (4, c), (4, c), (None, c), (None, a + " x"), (None, None), (7, None), (7, "")]
+    given = docs(spark, rows).withColumn("key", F.lit("own"))
+    left = minhash.drop_near_duplicates(given)
+    assert left.columns == given.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sum(1 for _, t in got if t and len(t) > 1) == 3
+    assert (1, a) in got and (4, c) in got
+    assert sum(1 for _, t in got if t in (b, edited(b, 6, 2))) == 1
+    assert sorted(i for i, t in got if t == "") == [7] and (7, None) in got and (None, None) in got
