@@ -299,7 +299,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     judged = near_duplicates(keyed.select(F.col(key).alias("doc_id"), column(text).alias("text")), **settings)
     judged = materialize(judged.select("doc_id", "kept"), "judged")
     dropped = judged.filter("not kept").select(F.col("doc_id").alias(key)).distinct()
-    repeated = judged.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
-    left = keyed.join(dropped, key, "left_anti")
-    once = left.join(repeated, key, "left_semi").dropDuplicates([key])
-    return left.join(repeated, key, "left_anti").unionByName(once).select(*[column(c) for c in docs.columns])
+    # texts are dealt by key once: what repeats meets there, tasks combine it before, and the rows that go are found in place
+    once = keyed.dropDuplicates([key])
+    return once.join(dropped, key, "left_anti").select(*[column(c) for c in docs.columns])
