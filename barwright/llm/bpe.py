@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters up to here have had their case, form and class in every version of Unicode, so Python and the library agree on them. Units
 #: with any other one take the library's own normalizer and splitter.
 SETTLED = "\u024f"
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 OUT_ROWS = 256
 
 
@@ -231,7 +232,7 @@ class Encoder:
         self.merges = Merges(path)
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.unsettled = regex.compile(f"[^\x00-{SETTLED}]")
+        self.unsettled = re.compile(f"[^\x00-{SETTLED}]")
         self.word = regex.compile(WORD)
         self.blank = regex.compile(f"[{BLANK}]+")
         marks = "|".join(regex.escape(s) for s in self.merges.special)
