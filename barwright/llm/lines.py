@@ -4,7 +4,7 @@ Lines are exploded, their normalised form is hashed to 128 bits, documents are c
 of hashes over the threshold are dropped; the rest is put together again by position. Only functions of the
 DataFrame API run here.
 
-Shuffles carry hashes and positions, never line texts. The lines of one frequent key are counted after a
+Shuffles carry hashes and positions, and once the whole texts to meet their positions. The lines of one frequent key are counted after a
 combine per task, and the join that finds them reads two written or exchanged sides, so its hot partitions can
 be split at run time.
 
@@ -52,7 +52,8 @@ def drop_common_lines(
     )
     drops = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
     d, t, drop, kept, parts = fresh([*docs.columns, "n_lines", "n_dropped"], "d", "t", "drops", "kept", "parts")
-    drops = drops.select(F.col("d").alias(d), F.col("t").alias(t), F.col("drops").alias(drop))
+    # texts are dealt by id at every size: the list of positions grows with the documents
+    drops = drops.select(F.col("d").alias(d), F.col("t").alias(t), F.col("drops").alias(drop)).hint("merge")
     base = docs.withColumn(t, F.xxhash64(column(text)))
     joined = base.join(drops, column(doc_id).eqNullSafe(drops[d]) & (base[t] == drops[t]), "left").drop(d, t)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

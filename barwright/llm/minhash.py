@@ -187,7 +187,8 @@ def linked_classes(members: DataFrame, docs: DataFrame, words: int, percent: int
         "centers",
     )
     texts = materialize(
-        docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # dealt by id at every size: the list of ids grows with the documents
+        docs.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("id"), "text"),
         "texts",
     )
