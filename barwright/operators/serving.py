@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,12 @@ from ..schemas import (
     rsi_column,
     served_interval,
 )
+from ..session import materialize
 from ..sources.candles import clock, latest_time, look_back
+from ..sources.tables import SignalTable
 
 QUOTE = "USDT"
+DAY = 86400
 
 
 def for_interval(signals: DataFrame, label: str) -> DataFrame:
@@ -115,15 +120,46 @@ def rsi_change(signals: DataFrame, rsi: str = "rsi14", interval: str = "FOUR_HOU
         F.max("is_newest").alias("has_newest"),
         F.max(earlier).alias("previous_time"),
     )
-    return (
-        pairs.filter(F.col("has_newest") & F.col("previous_time").isNotNull())
-        .select(
-            "symbol",
-            round_binary(F.col("rsi"), 2).alias("rsi"),
-            round_binary(percent_change(F.col("rsi"), F.col("previous")), 2).alias("percentage_change"),
-        )
-        .orderBy("symbol")
+    return _changes(pairs.filter(F.col("has_newest") & F.col("previous_time").isNotNull()))
+
+
+def _changes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        "symbol",
+        round_binary(F.col("rsi"), 2).alias("rsi"),
+        round_binary(percent_change(F.col("rsi"), F.col("previous")), 2).alias("percentage_change"),
+    ).orderBy("symbol")
+
+
+def stored_rsi_change(table: SignalTable, rsi: str = "rsi14", interval: str = "FOUR_HOUR") -> DataFrame:
+    """``rsi_change`` of a signal table, without reading its history.
+
+    The newest bars lie in the table's state. Their earlier bars are looked for backwards from the newest day: days further
+    back are read only while symbols are left without one, and each reach is twice the one before.
+    """
+    label = served_interval(interval)
+    state = for_interval(table.newest(), label)
+    newest = state.agg(F.max("bar_start")).first()[0]
+    wanted = materialize(
+        state.filter(F.col("symbol").endswith(QUOTE) & (F.col("bar_start") == newest))
+        .select("symbol", F.col(rsi_column(rsi)).alias("rsi")),
+        "wanted",
     )
+    found = [wanted.withColumn("previous", F.col("rsi")).limit(0)]
+    before, first, reach = newest, (newest or 0) // DAY * DAY, DAY
+    while not wanted.isEmpty():
+        # from the first day on everything older comes along, also from before the epoch
+        days = table.between(first, before) if first > 0 else table.before(before)
+        earlier = for_interval(days, label).select("symbol", "bar_start", F.col(rsi_column(rsi)).alias("value"))
+        met = earlier.join(wanted, "symbol").groupBy("symbol").agg(
+            F.first("rsi").alias("rsi"), F.max_by("value", "bar_start").alias("previous")
+        )
+        found.append(materialize(met, "found"))
+        wanted = materialize(wanted.join(found[-1], "symbol", "left_anti"), "wanted")
+        if first <= 0:
+            break
+        before, first, reach = first, first - reach, 2 * reach
+    return _changes(reduce(DataFrame.unionByName, found))
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:

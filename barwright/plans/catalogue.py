@@ -413,6 +413,14 @@ def rsi_change_daily(spark, sf_dir):
     return serving.rsi_change(_signals(spark, sf_dir, ("1d",), market.symbol_by_user()), "rsi7", "ONE_DAY")
 
 
+def rsi_change_stored(spark, sf_dir):
+    """The same from a stored signal table, by its newest rows and the days before them."""
+    base = market.base_candles(spark, sf_dir)
+    table = tables.signal_table(spark, scratch_path(spark, "signals")).provision()
+    catch_up_signals(base, table, _first_time(base) + 40000 * 86400, ("4h",), base_length=market.BASE_SECONDS)
+    return serving.stored_rsi_change(table, "rsi14", "FOUR_HOUR")
+
+
 def _patterns(spark, sf_dir):
     return market.price_patterns(_bars(spark, sf_dir, ["1d"]))
 
@@ -527,6 +535,7 @@ CATALOGUE: dict[str, Query] = {
     "top_over_bought_daily": _top(serving.top_over_bought, "rsi7", "anything else"),
     "rsi_change": rsi_change,
     "rsi_change_daily": rsi_change_daily,
+    "rsi_change_stored": rsi_change_stored,
     "pattern_rows": pattern_rows,
     "pattern_pairs": pattern_pairs,
     "pattern_detail": pattern_detail,

@@ -53,6 +53,17 @@ class KeyedTable:
             *self.schema.names
         )
 
+    def before(self, seconds: int) -> DataFrame:
+        """Rows before a time, read from the days that can hold them."""
+        return self.read().filter((F.col("day") <= day_of(F.lit(seconds))) & (F.col(self.time) < seconds)).select(
+            *self.schema.names
+        )
+
+    def between(self, first: int, end: int) -> DataFrame:
+        """Rows from a time on and before another, read from the days that can hold them."""
+        days = F.col("day").between(day_of(F.lit(first)), day_of(F.lit(end - 1)))
+        return self.read().filter(days & (F.col(self.time) >= first) & (F.col(self.time) < end)).select(*self.schema.names)
+
     def on_days(self, days: Sequence[datetime.date]) -> DataFrame:
         """Stored rows of some days; no other day is read."""
         return self.read().filter(F.col("day").isin(list(days)))

@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from barwright.operators import serving
 from barwright.plans.pipeline import catch_up_signals, ingest_candles, ingest_then_signals, rebuild_signals
 from barwright.schemas import VALUE_COLUMNS
 from barwright.session import scratch_path
@@ -115,3 +116,27 @@ def test_an_insert_reads_the_days_of_its_batch_only(spark):
         f.write_bytes(b"not a table")
     days = prices.insert_ignore(candles(spark, [rows[0], rows[-1]]))
     assert [str(d) for d in days] == ["1970-01-01", "1970-01-05"]
+
+
+def test_rsi_change_reads_backwards_only_as_far_as_a_symbol_needs(spark):
+    late = [r for r in walk("LATEUSDT", range(30 * DAY), 2) if not 26 * DAY * 300 <= r[1] < (30 * DAY - 48) * 300]
+    prices, signals = tables(spark)
+    catch_up_signals(candles(spark, walk("AUSDT", range(30 * DAY), 1) + walk("GONEUSDT", range(DAY), 3) + late), signals, 30 * DAY * 300, ("4h",))
+    for request, column in (("FOUR_HOUR", "rsi14"), ("FOUR_HOUR", "rsi7")):
+        expected = serving.rsi_change(signals.rows(), column, request).collect()
+        assert [r.symbol for r in expected] == ["AUSDT", "LATEUSDT"]
+        assert serving.stored_rsi_change(signals, column, request).collect() == expected
+    signals.newest()
+    # the newest day, then 1, 2 and 4 days back: the earlier bar of LATEUSDT lies in the 26th day
+    assert spoil(signals, "1970-01-23")
+    assert serving.stored_rsi_change(signals).collect() == serving.rsi_change(signals.since(22 * DAY * 300)).collect()
+
+
+def test_rsi_change_of_a_symbol_with_one_bar_and_of_an_empty_table(spark):
+    prices, signals = tables(spark)
+    assert serving.stored_rsi_change(signals).collect() == []
+    prices, signals = tables(spark)
+    once = walk("ONCEUSDT", range(6 * DAY - 48, 6 * DAY), 2)
+    catch_up_signals(candles(spark, walk("AUSDT", range(6 * DAY), 1) + once), signals, 6 * DAY * 300, ("4h",))
+    got = serving.stored_rsi_change(signals).collect()
+    assert [r.symbol for r in got] == ["AUSDT"] and got == serving.rsi_change(signals.rows()).collect()
