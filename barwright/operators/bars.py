@@ -6,6 +6,7 @@ combines them on the map side and a symbol holding most of the rows sends only i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,9 @@ from ..schemas import BAR_COLUMNS, BAR_SECONDS, CANDLES
 
 SUMMED = ("volume", "quote_asset", "num_trades", "buy_base", "buy_quote")
 
+# A common bucket of several bar lengths is this many of the longest bars at most.
+MOST_LONGEST = 32
+
 
 def interval_seconds(intervals: Iterable[str] | Mapping[str, int]) -> dict[str, int]:
     """Bar lengths for labels; a mapping states its own lengths."""
@@ -90,6 +94,13 @@ def with_interval(base: DataFrame, intervals: Iterable[str] | Mapping[str, int])
     return base.select("*", F.inline(choices))
 
 
+def common_bucket(lengths: Iterable[int]) -> int | None:
+    """Shortest time that whole bars of every length fill, or None for one length or where it would be very long."""
+    lengths = list(lengths)
+    shared = math.lcm(*lengths)
+    return shared if len(lengths) > 1 and shared <= MOST_LONGEST * max(lengths) else None
+
+
 def resample(
     base: DataFrame,
     intervals: Iterable[str] | Mapping[str, int],
@@ -100,12 +111,19 @@ def resample(
     """Bars of every requested length in one pass over the base candles.
 
     ``open_time`` is the time of the bar's first base candle, ``bar_start`` and ``close_time`` are its grid edges.
-    Base candles carry a third of the bars' size at most after the map-side combine, so the fan-out happens before
-    the shuffle and never multiplies the scan.
+    For several lengths the base candles are shuffled once, by symbol and the common bucket of all lengths, and every
+    length is rolled up where they lie: each row travels once however many lengths there are, and a symbol that holds
+    most of the rows is spread over its buckets. One length, and lengths without a reasonable common bucket, combine
+    their bars before the shuffle instead.
     """
-    rows = with_interval(only_symbols(in_range(base, start, end), symbols), intervals)
-    rows = rows.withColumn("close_time", bar_close(F.col("open_time"), F.col("bar_seconds")))
-    bars = rows.groupBy("bar_interval", "bar_seconds", "symbol", "close_time").agg(*bar_aggregates())
+    key = ["bar_interval", "bar_seconds", "symbol", "close_time"]
+    rows = only_symbols(in_range(base, start, end), symbols)
+    shared = common_bucket(interval_seconds(intervals).values())
+    if shared:
+        key.append("bucket")
+        rows = rows.withColumn("bucket", int_div(F.col("open_time"), F.lit(shared))).repartition("symbol", "bucket")
+    rows = with_interval(rows, intervals).withColumn("close_time", bar_close(F.col("open_time"), F.col("bar_seconds")))
+    bars = rows.groupBy(*key).agg(*bar_aggregates())
     return bars.select(
         "bar_interval",
         "symbol",

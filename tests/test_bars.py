@@ -1,6 +1,6 @@
-from barwright.operators.bars import candles_from_ticks, resample, resample_by_join
+from barwright.operators.bars import candles_from_ticks, common_bucket, resample, resample_by_join
 from barwright.sources import market
-from helpers import assert_same, candle, candles, one_row
+from helpers import assert_same, candle, candles, one_row, walk
 
 
 def test_bar_from_base_candles(spark):
@@ -50,3 +50,22 @@ def test_prices_stay_inside_their_bar(spark, sf_dir):
 def test_partial_aggregation_reaches_both_sides_of_the_shuffle(spark, sf_dir):
     plan = candles_from_ticks(market.ticks(market.table(spark, sf_dir, "events")))._jdf.queryExecution().toString()
     assert "partial_min_by" in plan and "SortAggregate" not in plan
+
+
+def test_several_lengths_shuffle_each_base_row_once(spark):
+    base = candles(spark, [candle(s, 300 * t, 1, 1, t) for s in "AB" for t in range(100)])
+    plan = resample(base, ["5m", "15m", "1h", "4h"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")  # fanned out behind it
+
+
+def test_common_bucket():
+    assert common_bucket([3600, 7200, 10800]) == 21600
+    assert common_bucket([3600]) is None
+    assert common_bucket([86399, 86400]) is None
+
+
+def test_lengths_without_a_common_bucket(spark):
+    base = candles(spark, walk("A", range(300), 3))
+    together = resample(base, {"x": 86399, "y": 86400})
+    assert_same(together.filter("bar_interval = 'x'"), resample(base, {"x": 86399}), ("symbol", "bar_start"))
+    assert_same(together.filter("bar_interval = 'y'"), resample(base, {"y": 86400}), ("symbol", "bar_start"))
