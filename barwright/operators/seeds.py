@@ -11,6 +11,9 @@ from ..schemas import LOOKBACK_BARS
 from .blocks import BLOCK_KEY, BLOCK_SLOTS, split_blocks
 from .indicators import SERIES, seed_signals
 
+# What the seed windows read of a bar in reach.
+READ = ("slot", "high", "low", "close")
+
 
 def seed_at(bars: DataFrame, targets: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Exact seed rows at ``targets`` (series keys and ``slot``).
@@ -38,13 +41,30 @@ def seed_all(bars: DataFrame, block: int = BLOCK_SLOTS) -> DataFrame:
     """Exact seed row of every bar.
 
     Where the 28 slots of a bar are complete, or nothing is older than they are, trailing windows over its block see
-    the same rows as its own look-back would. Only bars behind a gap need that look-back spelled out.
+    the same rows as its own look-back would. A bar behind a gap gets its look-back as a list, from a frame of the same
+    windows, and unfolds it where it lies (the other bars unfold to themselves): a second round of windows runs per bar
+    inside the partitions of the block, so the bars are computed and shuffled once.
     """
     rows = split_blocks(bars.withColumn("fresh", F.lit(True)), block, LOOKBACK_BARS)
     order = Window.partitionBy(*BLOCK_KEY).orderBy("slot")
-    seen = F.row_number().over(order)
-    found = F.count(F.lit(1)).over(order.rangeBetween(-(LOOKBACK_BARS - 1), 0))
-    rolled = seed_signals(rows.withColumn("plain", (found == LOOKBACK_BARS) | (found == seen)), BLOCK_KEY).filter("own")
-    plain = rolled.filter("plain").drop("own", "block", "plain")
-    behind_gap = rolled.filter(~F.col("plain")).select(*SERIES, "slot")
-    return plain.unionByName(seed_at(bars, behind_gap))
+    reach = order.rangeBetween(-(LOOKBACK_BARS - 1), 0)
+    found = F.count(F.lit(1)).over(reach)
+    rows = rows.withColumns(
+        {
+            "plain": (found == LOOKBACK_BARS) | (found == F.row_number().over(order)),
+            "reach": F.collect_list(F.struct(*READ)).over(reach),
+        }
+    )
+    rolled = seed_signals(rows, BLOCK_KEY).filter("own")
+    seeds = [name for name in rolled.columns if name not in rows.columns]
+    unfolded = rolled.select(
+        *[name for name in bars.columns if name not in READ],
+        "block",
+        "plain",
+        F.col("slot").alias("target_slot"),
+        *[F.col(name).alias(f"rolled_{name}") for name in seeds],
+        F.inline(F.when(F.col("plain"), F.array(F.struct(*READ))).otherwise(F.col("reach"))),
+    )
+    seeded = seed_signals(unfolded, [*BLOCK_KEY, "target_slot"]).filter("slot = target_slot")
+    chosen = [F.when(F.col("plain"), F.col(f"rolled_{name}")).otherwise(F.col(name)).alias(name) for name in seeds]
+    return seeded.select(*bars.columns, *chosen)

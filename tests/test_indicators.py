@@ -96,3 +96,16 @@ def test_all_seed_windows_share_one_exchange_and_one_sort(spark):
     # one exchange for the bars, one for all windows
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.count("Sort [") == 1
+
+
+def test_seeds_behind_gaps_shuffle_the_bars_once(spark, sf_dir):
+    seeds = seed_all(ind.with_slot(resample(market.base_candles(spark, sf_dir), ["1h", "4h"])))
+    plan = seeds._jdf.queryExecution().executedPlan().toString()
+    # candles, their bars by common bucket, and the blocks; no join with the look-back
+    assert plan.count("Exchange ") == 3 and "Join" not in plan
+
+
+def test_seeds_behind_gaps_in_small_blocks(spark):
+    rows = walk("A", [s for s in range(200) if s % 7 not in (2, 3) and not 60 < s < 100], 5)
+    bars = ind.with_slot(resample(candles(spark, rows), ["5m"]))
+    assert_same(seed_all(bars, 32), seed_at(bars, bars.select(*ind.SERIES, "slot")), ("symbol", "slot"))
