@@ -9,6 +9,8 @@ the residuals, each divided by the mean close as in the stored predictions; star
 A series is cut into time blocks. A filter run from zero over a block plus a known multiple of the unknown carry is
 the true filter, so each block is summarised once (sums as polynomials of the carry) and the few summaries of a
 symbol are chained exactly, however long the series is. A second pass yields the residuals with known carries.
+A symbol whose rows lie in one block has no unknown carry: its task compares the thetas itself and hands on the best
+one only, in place of a summary for each theta.
 """
 
 from __future__ import annotations
@@ -27,9 +29,12 @@ from ..functions.timegrid import int_div
 from ..schemas import FORECAST_LOOKBACK, PREDICTIONS
 from ..session import materialize
 from ..sources.candles import look_back
+from . import recursion
 from .groups import whole_groups
+from .recursion import affine_scan
 
 # Tasks get the block functions by value, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(recursion)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_SECONDS = 4096 * 3600
@@ -37,6 +42,7 @@ KEY = ["symbol", "block"]
 GROUPS_AT_ONCE = 128
 THETA_STEPS = 99  # theta = -0.99 .. 0.99
 PHI_LIMIT = 0.99
+MISFIT_DIGITS = 10
 # two-sided 95 % point of the normal distribution
 Z95 = 1.959963984540054
 
@@ -77,8 +83,22 @@ def _filter_groups(diffs: np.ndarray, first: np.ndarray, length: np.ndarray, the
     return [p, q, p_before, q_before, *sums, power]
 
 
+def _may_be_best(theta: np.ndarray, s0: np.ndarray, s1: np.ndarray, s2: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """The best theta of whole series, from their sums by theta, under the rule of ``_chain``; more than one where a misfit
+    lies so near the edge of its last digit that only one way of rounding may decide, which is ``_chain``'s."""
+    phi = np.clip(np.divide(s1, s2, out=np.zeros(s1.shape), where=s2 != 0), -PHI_LIMIT, PHI_LIMIT)
+    sse = s0 - 2 * phi * s1 + phi * phi * s2
+    units = np.divide(sse, power, out=np.zeros(sse.shape), where=power != 0) * 10.0**MISFIT_DIGITS
+    near = units <= units.min(axis=1, keepdims=True) + 2
+    on_edge = (near & (np.abs(units - np.floor(units) - 0.5) < 0.001)).any(axis=1)
+    whole = np.floor(units + 0.5)
+    by_preference = np.lexsort((theta, np.abs(theta)))
+    first = by_preference[np.argmax((whole == whole.min(axis=1, keepdims=True))[:, by_preference], axis=1)]
+    return np.where(on_edge[:, None], near, np.arange(len(theta)) == first[:, None])
+
+
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block and theta from differences sorted by block and time."""
+    """One row per block and theta from differences sorted by block and time; of a symbol's only block the best."""
     theta = _thetas()
     for table in whole_groups(batches):
         starts = np.flatnonzero(table.column("starts").to_numpy())
@@ -87,18 +107,22 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(starts[1:], len(diffs))
         # differences are only missing on the first rows of a series
         length = known[ends] - known[starts]
+        alone = table.column("alone").to_numpy()[starts]
         order = np.argsort(-length, kind="stable")
         for part in range(0, len(order), GROUPS_AT_ONCE):
             chosen = order[part : part + GROUPS_AT_ONCE]
             terms = _filter_groups(diffs, ends[chosen] - length[chosen], length[chosen], theta)
-            rows = pa.array(np.repeat(starts[chosen], len(theta)))
+            named = dict(zip(FILTER_TERMS, terms))
+            best = _may_be_best(theta, *[named[f"s{i}_0"] for i in range(3)], named["power"])
+            block, lane = np.nonzero(best | ~alone[chosen][:, None])
+            rows = pa.array(starts[chosen][block])
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("symbol").combine_chunks().take(rows),
                     table.column("block").combine_chunks().take(rows),
-                    pa.array(np.tile(theta, len(chosen))),
-                    pa.array(np.repeat(length[chosen], len(theta))),
-                    *[pa.array(term.ravel()) for term in terms],
+                    pa.array(theta[lane]),
+                    pa.array(length[chosen][block]),
+                    *[pa.array(term[block, lane]) for term in terms],
                 ],
                 names=["symbol", "block", "theta", "residuals", *FILTER_TERMS],
             )
@@ -106,22 +130,25 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Residual of every difference, given the fit of the symbol and the carry of its block."""
-    filtered = 0.0
-    for batch in batches:
-        names = ("starts", "diff", "theta", "phi", "carry")
-        errors = []
-        for starts, diff, theta, phi, carry in zip(*[batch.column(name).to_pylist() for name in names]):
-            if starts:
-                filtered = carry
-            if diff is None:
-                errors.append(None)
-            else:
-                before, filtered = filtered, diff - theta * filtered
-                errors.append(filtered - phi * before)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("symbol"), batch.column("open_time"), pa.array(errors, pa.float64())],
-            names=["symbol", "open_time", "residual"],
-        )
+    for table in whole_groups(batches):
+        group = np.cumsum(table.column("starts").to_numpy()) - 1
+        diff, theta, phi, carry = [
+            np.asarray(table.column(name).to_numpy(), dtype=float) for name in ("diff", "theta", "phi", "carry")
+        ]
+        known = np.flatnonzero(~np.isnan(diff))
+        filtered, before = np.empty(len(diff)), np.empty(len(diff))
+        first = np.diff(group[known], prepend=-1) > 0
+        add = diff[known] - np.where(first, theta[known] * carry[known], 0.0)
+        # blocks that share a theta are one scan
+        order = np.argsort(theta[known], kind="stable")
+        for lane in np.split(order, np.flatnonzero(np.diff(theta[known][order])) + 1) if len(known) else []:
+            keep = np.array([-theta[known[lane[0]]]])
+            filtered[known[lane]] = affine_scan(keep, add[lane][:, None], first[lane])[:, 0]
+        before[known] = np.where(first, carry[known], filtered[np.concatenate([known[:1], known[:-1]])])
+        errors = np.full(len(diff), np.nan)
+        errors[known] = filtered[known] - phi[known] * before[known]
+        done = table.select(["symbol", "open_time"]).append_column("residual", pa.array(errors, from_pandas=True))
+        yield from done.to_batches()
 
 
 def with_differences(rows: DataFrame) -> DataFrame:
@@ -141,7 +168,7 @@ def with_differences(rows: DataFrame) -> DataFrame:
     before = F.when(first, F.col("close_1")).otherwise(F.col("lag_1"))
     older = F.when(first, F.col("close_2")).when(second, F.col("close_1")).otherwise(F.col("lag_2"))
     return placed.select(
-        *KEY, "open_time", "close", before.alias("before"),
+        *KEY, "alone", "open_time", "close", before.alias("before"),
         (F.col("close") - before * 2 + older).alias("diff"),
     )
 
@@ -153,13 +180,16 @@ def _sorted_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _block_context(rows: DataFrame) -> DataFrame:
-    """Per block, the last two closes before it: from each block's own last two rows, never from whole series."""
+    """Per block, the last two closes before it: from each block's own last two rows, never from whole series. ``alone``
+    tells that the symbol has no other block."""
     order = Window.partitionBy("symbol", "block").orderBy(F.col("open_time").desc())
     tails = rows.withColumn("at", F.row_number().over(order)).filter("at <= 2")
     series = Window.partitionBy("symbol").orderBy("open_time")
+    blocks = Window.partitionBy("symbol")
     lagged = tails.select(
         "symbol",
         "block",
+        (F.min("block").over(blocks) == F.max("block").over(blocks)).alias("alone"),
         F.lag("block").over(series).alias("block_before"),
         F.lag("close", 1).over(series).alias("close_1"),
         F.lag("close", 2).over(series).alias("close_2"),
@@ -168,6 +198,10 @@ def _block_context(rows: DataFrame) -> DataFrame:
     return lagged.filter(first).drop("block_before")
 
 
+def _summaries(series: DataFrame) -> DataFrame:
+    return _sorted_blocks(series.select(*KEY, "alone", "open_time", "diff")).mapInArrow(_summarise, SUMMARY)
+
+
 def _chain(summaries: DataFrame) -> DataFrame:
     """Sums and filter states over all blocks of a symbol, per theta; the blocks' carries are kept.
 
@@ -203,7 +237,7 @@ def _chain(summaries: DataFrame) -> DataFrame:
     phi = F.greatest(F.least(F.coalesce(safe_div(F.col("s1"), F.col("s2")), zero), F.lit(PHI_LIMIT)), F.lit(-PHI_LIMIT))
     chained = chained.withColumn("phi", phi)
     sse = F.col("s0") - F.col("phi") * F.col("s1") * 2 + F.col("phi") * F.col("phi") * F.col("s2")
-    return chained.withColumn("misfit", F.round(F.coalesce(safe_div(sse, F.col("power")), zero), 10))
+    return chained.withColumn("misfit", F.round(F.coalesce(safe_div(sse, F.col("power")), zero), MISFIT_DIGITS))
 
 
 def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
@@ -216,9 +250,8 @@ def fit_symbols(prices: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFr
         int_div(F.col("open_time"), F.lit(block_seconds)).alias("block"),
     ).filter(F.col("close").isNotNull())
     series = materialize(with_differences(rows), "series")
-    summaries = _sorted_blocks(series.select(*KEY, "open_time", "diff")).mapInArrow(_summarise, SUMMARY)
     chosen = F.min_by(F.struct("theta", "phi", "a", "a_before", "carries"), F.struct("misfit", F.abs("theta"), "theta"))
-    best = _chain(summaries).groupBy("symbol").agg(chosen.alias("b")).select("symbol", "b.*")
+    best = _chain(_summaries(series)).groupBy("symbol").agg(chosen.alias("b")).select("symbol", "b.*")
     carries = best.select("symbol", "theta", "phi", F.inline("carries"))
     errors = (
         _sorted_blocks(series.select(*KEY, "open_time", "diff").join(carries, KEY))

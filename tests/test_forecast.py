@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from barwright.operators.forecast import PHI_LIMIT, Z95, fit_symbols, forecast_next
+from barwright.operators.forecast import PHI_LIMIT, Z95, _summaries, fit_symbols, forecast_next, with_differences
 from helpers import candle, candles, walk
 
 
@@ -63,3 +64,14 @@ def test_look_back_limits_the_fit(spark):
 def test_straight_line_is_continued(spark):
     row = fit_symbols(candles(spark, [candle("L", 300 * s, 1, 1, 10 + 3 * s) for s in range(50)])).first()
     assert (row.next_pred, row.lower, row.upper, row.mse, row.mae) == (160.0, 160.0, 160.0, 0.0, 0.0)
+
+
+def test_symbols_in_one_block_are_compared_in_their_task(spark):
+    rows = candles(spark, ROWS + [candle("S", 300, 1, 1, 5)] + [candle("L", 300 * s, 1, 1, 3 * s) for s in range(9)])
+    for slots, symbols in ((10**6, "ABCLS"), (200, "ALS"), (40, "LS")):
+        series = with_differences(rows.withColumn("block", F.expr(f"open_time div {300 * slots}")))
+        handed = {r.symbol: (r.rows, r.blocks) for r in _summaries(series).groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("rows"), F.countDistinct("block").alias("blocks")).collect()}
+        for symbol in "ABCLS":
+            count, blocks = handed[symbol]
+            assert count == 1 if symbol in symbols else count == 199 * blocks, (slots, symbol, count)
