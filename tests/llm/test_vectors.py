@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,32 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs((estimate - true).mean()) < 0.01 and (np.abs(estimate - true) <= bound).all()
 
 
+def test_estimates_from_stored_planes_are_bounded():
+    rng = np.random.default_rng(7)
+    for dim in (5, 64, 100, 200):
+        x = vectors.unit(np.repeat(rng.normal(size=(150, dim)), 2, axis=0) + 0.1 * rng.normal(size=(300, dim)))
+        out = next(vectors.encoded(12, 9)(iter([pa.RecordBatch.from_arrays(
+            [pa.array(range(300)), pa.array([5] * 300), pa.array(list(x)), pa.array([1] * 300)], ["id", "label", "vector", "many"])])))
+        rows = pa.Table.from_batches([out]).append_column("band", pa.array([9] * 300))
+        stored = vectors.Stored(rows, 12)
+        a, b = np.arange(0, 300, 2), np.arange(1, 300, 2)
+        cosine = (x[a] * x[b]).sum(axis=1)
+        for threshold in (0.9, 0.95):
+            assert stored.may_reach(a, b, threshold)[cosine >= threshold].all()
+            assert (stored.reach(a, b, threshold) == (cosine >= threshold)).all()
+        if dim >= 64:  # the bound turns unlike pairs away
+            assert stored.may_reach(a, np.roll(b, 7), 0.93).mean() < 0.2
+        _, _, values = vectors.encode(x, 12, 9)
+        assert (stored.meet_first(a, b, 0) == ~(values[a] == values[b]).any(axis=1)).all()
+
+
+def test_labels_are_compared_as_they_are(spark):
+    for kind, (p, q) in (("string", ("x", "y")), ("double", (1.2, 1.7))):
+        rows = [(i, [1.0, 2.0, 3.0 + i / 100], p if i % 2 else q) for i in range(8)] + [(9, [1.0, 2.0, 3.0], None)]
+        got = rows_of(vectors.linked_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")), "vec_id", "n_links", "component_id")
+        assert got == [(i, 3, i % 2) for i in range(8)] + [(9, 0, 9)]
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q in queries:
