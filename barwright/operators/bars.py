@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.timegrid import bar_close, int_div
 from ..schemas import BAR_COLUMNS, BAR_SECONDS, CANDLES
+from ..session import estimated_bytes
 
 SUMMED = ("volume", "quote_asset", "num_trades", "buy_base", "buy_quote")
 
 # A common bucket of several bar lengths is this many of the longest bars at most.
 MOST_LONGEST = 32
 
+# Estimated bytes of fanned-out base rows for one task. Files count as they lie on disk; the two hash maps of a roll-up
+# take some ten to twenty times that.
+ROLL_UP_BYTES = 4 << 20
+
 
 def interval_seconds(intervals: Iterable[str] | Mapping[str, int]) -> dict[str, int]:
     """Bar lengths for labels; a mapping states its own lengths."""
@@ -101,6 +106,19 @@ def common_bucket(lengths: Iterable[int]) -> int | None:
     return shared if len(lengths) > 1 and shared <= MOST_LONGEST * max(lengths) else None
 
 
+def roll_up_tasks(base: DataFrame, lengths: int) -> int:
+    """Tasks for bars of so many lengths: a base row may become a bar of each, and a task holds all its bars.
+
+    The number grows with the estimated size of the base rows, up to the session's shuffle partitions for every length.
+    """
+    spark = base.sparkSession
+    most = lengths * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(base)
+    if size is None:
+        return most
+    return min(most, max(spark.sparkContext.defaultParallelism, math.ceil(lengths * size / ROLL_UP_BYTES)))
+
+
 def resample(
     base: DataFrame,
     intervals: Iterable[str] | Mapping[str, int],
@@ -113,15 +131,18 @@ def resample(
     ``open_time`` is the time of the bar's first base candle, ``bar_start`` and ``close_time`` are its grid edges.
     For several lengths the base candles are shuffled once, by symbol and the common bucket of all lengths, and every
     length is rolled up where they lie: each row travels once however many lengths there are, and a symbol that holds
-    most of the rows is spread over its buckets. One length, and lengths without a reasonable common bucket, combine
-    their bars before the shuffle instead.
+    most of the rows is spread over its buckets. A task holds the bars of its rows, so ``roll_up_tasks`` states the number
+    of tasks; left to adaptive execution it would follow the bytes of the base rows alone. One length, and lengths without
+    a reasonable common bucket, combine their bars before the shuffle instead.
     """
     key = ["bar_interval", "bar_seconds", "symbol", "close_time"]
     rows = only_symbols(in_range(base, start, end), symbols)
-    shared = common_bucket(interval_seconds(intervals).values())
+    lengths = interval_seconds(intervals)
+    shared = common_bucket(lengths.values())
     if shared:
         key.append("bucket")
-        rows = rows.withColumn("bucket", int_div(F.col("open_time"), F.lit(shared))).repartition("symbol", "bucket")
+        tasks = roll_up_tasks(base, len(lengths))
+        rows = rows.withColumn("bucket", int_div(F.col("open_time"), F.lit(shared))).repartition(tasks, "symbol", "bucket")
     rows = with_interval(rows, intervals).withColumn("close_time", bar_close(F.col("open_time"), F.col("bar_seconds")))
     bars = rows.groupBy(*key).agg(*bar_aggregates())
     return bars.select(

@@ -44,6 +44,13 @@ def build_session(app_name: str = "barwright", master: str | None = None, input_
     return builder.getOrCreate()
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of the size of ``df``, huge where it knows nothing; None for a stream."""
+    if df.isStreaming:
+        return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named by ``spark.checkpoint.dir``, else the session's warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(

@@ -1,4 +1,6 @@
-from barwright.operators.bars import candles_from_ticks, common_bucket, resample, resample_by_join
+from pyspark.sql import functions as F
+
+from barwright.operators.bars import candles_from_ticks, common_bucket, resample, resample_by_join, roll_up_tasks
 from barwright.sources import market
 from helpers import assert_same, candle, candles, one_row, walk
 
@@ -58,6 +60,33 @@ def test_several_lengths_shuffle_each_base_row_once(spark):
     assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")  # fanned out behind it
 
 
+def test_several_lengths_hold_no_more_bars_in_a_task(spark):
+    """P shuffle partitions for one length are P for each of several: adaptive execution does not join them again."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = candles(spark, [candle(f"S{s}", 300 * t, 1, 1, t) for s in range(40) for t in range(480)])
+    bars = resample(base, ["5m", "10m", "15m", "30m"])
+    held = [r["count"] for r in bars.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 40 * (480 + 240 + 160 + 80)
+    assert len(held) > 2 * parts and max(held) <= 2 * sum(held) / (4 * parts)
+
+
+def test_roll_up_tasks_follow_the_size_of_the_base_rows(spark, tmp_path, monkeypatch):
+    parts, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    tasks = []
+    for at, n in enumerate((4000, 16000)):
+        candles(spark, walk("A", range(n), at)).coalesce(1).write.parquet(f"{tmp_path}/{at}")
+        stored = spark.read.parquet(f"{tmp_path}/{at}")
+        assert roll_up_tasks(stored, 4) == min(cores, 4 * parts)  # little to hold: no crowd of tiny tasks
+        with monkeypatch.context() as m:
+            m.setattr("barwright.operators.bars.ROLL_UP_BYTES", 10_000)
+            m.setattr(type(spark.conf), "get", lambda *_: "100000")
+            tasks.append(roll_up_tasks(stored, 4))
+            assert abs(roll_up_tasks(stored, 8) - 2 * tasks[-1]) <= 1
+    assert cores < 2 * tasks[0] < tasks[1] < 8 * tasks[0]
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path))
+    assert roll_up_tasks(stream, 4) == 4 * parts
+
+
 def test_common_bucket():
     assert common_bucket([3600, 7200, 10800]) == 21600
     assert common_bucket([3600]) is None
